@@ -263,3 +263,187 @@ reg("w17_running_counts_state", OSA,
               cast(sum(n) over (partition by customer_state order by day_no) as bigint) as cum_n,
               cast(sum(late) over (partition by customer_state order by day_no) as bigint) as cum_late from dd""")
 reg("p08_promise_filter", *FT_ALL, sel(["count(*) as n_rows", r("min(promised_days)", "min_promised")], "from ft"))
+
+
+# ---------------------------------------------------------------- seller-day panel
+PANEL = """ptot as (select seller_id, sum(orders_n) as tot, min(order_date) as a, max(order_date) as b
+                 from sdo group by 1 having sum(orders_n) >= 10),
+grid as (select seller_id, cast(unnest(generate_series(a, b, interval 1 day)) as date) as as_of_date from ptot),
+panel as (select g.seller_id, g.as_of_date, coalesce(s.orders_n, 0) as orders_n, coalesce(s.late_n, 0) as late_n,
+                 s.avg_delay_days
+          from grid g left join sdo s on s.seller_id = g.seller_id and s.order_date = g.as_of_date)"""
+
+
+def _trail(col, w, fn="sum"):
+    return f"{fn}({col}) over (partition by seller_id order by as_of_date rows between {w} preceding and 1 preceding)"
+
+
+HISTP = """hp as (select *,
+  {cols},
+  coalesce(lag(late_n) over (partition by seller_id order by as_of_date), 0) as prev_late
+  from panel),
+hp2 as (select *, late_rate_7d - late_rate_30d as late_rate_trend,
+  coalesce(date_diff('day', max(case when prev_late > 0 then as_of_date end) over
+      (partition by seller_id order by as_of_date rows between unbounded preceding and 1 preceding), as_of_date), 9999)
+    as days_since_last_late
+  from hp)""".format(cols=",\n  ".join(
+    f"coalesce({_trail('late_n', w)}, 0) as late_count_{w}d, coalesce({_trail('orders_n', w)}, 0) as order_count_{w}d, "
+    f"coalesce({_trail('late_n', w)}, 0) / nullif(coalesce({_trail('orders_n', w)}, 0), 0) as late_rate_{w}d"
+    for w in (7, 14, 30)))
+
+REVP = """rp as (select p.*, r.avg_review_score, r.bad_reviews_n from panel p
+               left join sdr r on r.seller_id = p.seller_id and r.review_date = p.as_of_date),
+rp2 as (select seller_id, as_of_date, {cols} from rp)""".format(cols=", ".join(
+    f"{_trail('avg_review_score', w, 'avg')} as review_score_avg_{w}d, "
+    f"coalesce({_trail('bad_reviews_n', w)}, 0) as bad_reviews_{w}d" for w in (7, 14, 30)))
+
+SIGP = """sp as (select p.*, s.seller_state from panel p left join v_sellers s on s.seller_id = p.seller_id),
+sp1 as (select sp.*, w.weather_severity, w.port_congestion, w.commodity_volatility from sp
+        left join sigw w on w.seller_state = sp.seller_state and w.signal_date = sp.as_of_date),
+sp2 as (select seller_id, as_of_date, seller_state, {cols} from sp1)""".format(cols=", ".join(
+    f"avg({n}) over (partition by seller_id order by as_of_date rows between {w - 1} preceding and current row) as {n}_{w}d"
+    for n in ("weather_severity", "port_congestion", "commodity_volatility") for w in (7, 14, 30)))
+
+FWDP = """fp as (select *,
+  case when lead(orders_n, 30) over (partition by seller_id order by as_of_date) is not null
+       then sum(late_n) over (partition by seller_id order by as_of_date rows between 1 following and 30 following) end as forward_late,
+  case when lead(orders_n, 30) over (partition by seller_id order by as_of_date) is not null
+       then sum(orders_n) over (partition by seller_id order by as_of_date rows between 1 following and 30 following) end as forward_orders
+  from panel),
+fp2 as (select *, forward_late / nullif(forward_orders, 0) as forward_rate from fp)"""
+
+PANEL_ALL = (SDO, PANEL)
+hist_cols = [f"{k}_{w}d" for w in (7, 14, 30) for k in ("late_count", "order_count", "late_rate")]
+
+reg("w01_seller_day_panel", *PANEL_ALL,
+    sel(["seller_id", ds("as_of_date"), "orders_n", "late_n", r("avg_delay_days")], "from panel"))
+reg("w01_empty_panel", SDO,
+    "select seller_id, strftime(order_date, '%Y-%m-%d') as as_of_date, orders_n, late_n, round(avg_delay_days, 6) as avg_delay_days from sdo where false")
+reg("w02_trailing_delivery_counts", *PANEL_ALL, HISTP,
+    sel(["seller_id", ds("as_of_date")] + [r(c) if "rate" in c else c for c in hist_cols], "from hp2"))
+reg("w03_late_rate_trend", *PANEL_ALL, HISTP, sel(["seller_id", ds("as_of_date"), r("late_rate_trend")], "from hp2"))
+reg("w04_days_since_last_late", *PANEL_ALL, HISTP,
+    sel(["seller_id", ds("as_of_date"), "cast(days_since_last_late as integer) as days_since_last_late"], "from hp2"))
+reg("w05_review_windows", *PANEL_ALL, SDR, REVP,
+    sel(["seller_id", ds("as_of_date")] + [x for w in (7, 14, 30) for x in (r(f"review_score_avg_{w}d"), f"bad_reviews_{w}d")],
+        "from rp2"))
+reg("w06_signal_windows", *PANEL_ALL, SIGW, SIGP,
+    sel(["seller_id", ds("as_of_date"), "seller_state"] +
+        [r(f"{n}_{w}d") for n in ("weather_severity", "port_congestion", "commodity_volatility") for w in (7, 14, 30)],
+        "from sp2"))
+PROF = """pr as (select h.seller_id, h.as_of_date, h.late_count_30d, h.order_count_30d, h.late_rate_30d, s.seller_state
+               from hp2 h left join v_sellers s on s.seller_id = h.seller_id),
+pr2 as (select seller_id, as_of_date,
+  sum(late_count_30d) over (partition by seller_id order by as_of_date rows between unbounded preceding and current row)
+   / nullif(sum(order_count_30d) over (partition by seller_id order by as_of_date rows between unbounded preceding and current row), 0)
+   as lifetime_late_rate,
+  avg(late_rate_30d) over (partition by seller_state, as_of_date) as state_peer_late_rate,
+  cast(date_diff('day', min(as_of_date) over (partition by seller_id), as_of_date) as integer) as seller_tenure_days,
+  seller_state
+  from pr)"""
+reg("w07_w09_profile_features", *PANEL_ALL, HISTP, PROF,
+    sel(["seller_id", ds("as_of_date"), r("lifetime_late_rate"), r("state_peer_late_rate"), "seller_tenure_days"],
+        "from pr2"))
+reg("w10_forward_sums", *PANEL_ALL, FWDP,
+    sel(["seller_id", ds("as_of_date"), "cast(forward_late as bigint) as forward_late",
+         "cast(forward_orders as bigint) as forward_orders", r("forward_rate")], "from fp2"))
+HALVES = """hv as (select seller_id, as_of_date,
+  case when lead(orders_n, 15) over w is not null then sum(late_n) over (w rows between 1 following and 15 following) end as l1,
+  case when lead(orders_n, 15) over w is not null then sum(orders_n) over (w rows between 1 following and 15 following) end as o1,
+  case when lead(orders_n, 30) over w is not null then sum(late_n) over (w rows between 16 following and 30 following) end as l2,
+  case when lead(orders_n, 30) over w is not null then sum(orders_n) over (w rows between 16 following and 30 following) end as o2
+  from panel window w as (partition by seller_id order by as_of_date))"""
+reg("w11_offset_window_sum", *PANEL_ALL, HALVES,
+    sel(["seller_id", ds("as_of_date")] + [f"cast({c} as bigint) as {c}" for c in ("l1", "o1", "l2", "o2")], "from hv"))
+LABEL = """lab as (select *, case when forward_orders is null or forward_orders < 5 then null
+                           when forward_rate >= 0.15 then 1 else 0 end as high_late_rate_next_30d from fp2)"""
+reg("w12_forward_label", *PANEL_ALL, FWDP, LABEL,
+    sel(["seller_id", ds("as_of_date"), "cast(forward_orders as bigint) as forward_orders",
+         r("forward_rate", "late_rate_next_30d"), "high_late_rate_next_30d"], "from lab"))
+
+L09_COLS = (["f.seller_id", ds("f.as_of_date")] + [r(c) if "rate" in c else c for c in hist_cols] +
+            [r("late_rate_trend"), "cast(days_since_last_late as integer) as days_since_last_late"] +
+            [x for w in (7, 14, 30) for x in (r(f"review_score_avg_{w}d"), f"bad_reviews_{w}d")] +
+            ["sp2.seller_state"] +
+            [r(f"{n}_{w}d") for n in ("weather_severity", "port_congestion", "commodity_volatility") for w in (7, 14, 30)] +
+            [r("lifetime_late_rate"), r("state_peer_late_rate"), "seller_tenure_days", "high_late_rate_next_30d"])
+reg("l09_seller_day_feature_table", *PANEL_ALL, HISTP, SDR, REVP, SIGW, SIGP, PROF, FWDP, LABEL,
+    sel(L09_COLS, """from lab f
+        join hp2 using (seller_id, as_of_date) join rp2 using (seller_id, as_of_date)
+        join sp2 using (seller_id, as_of_date) join pr2 using (seller_id, as_of_date)
+        where high_late_rate_next_30d is not null"""))
+
+reg("l01_any_late_label", *PANEL_ALL, FWDP,
+    sel(["seller_id", ds("as_of_date"), """case when forward_orders is null or forward_orders < 1 then null
+         when forward_late >= 1 then 1 else 0 end as y"""], "from fp2"))
+reg("l02_rate_label", *PANEL_ALL, FWDP,
+    sel(["seller_id", ds("as_of_date"), """case when forward_orders < 5 or forward_rate is null then null
+         when forward_rate >= 0.25 then 1 else 0 end as y"""], "from fp2"))
+P0 = "p0 as (select sum(late_n) / sum(orders_n) as p0 from fp2)"
+reg("l03_shrunk_label", *PANEL_ALL, FWDP, P0,
+    "sh as (select fp2.*, (forward_late + p0 * 20.0) / (forward_orders + p0 * 20.0 + (1 - p0) * 20.0) as shrunk from fp2, p0)",
+    sel(["seller_id", ds("as_of_date"), r("shrunk"), """case when forward_orders is null or forward_orders < 5 then null
+         when shrunk >= 0.25 then 1 else 0 end as y"""], "from sh"))
+reg("l04_zscore_label", *PANEL_ALL, FWDP, P0,
+    "zs as (select fp2.*, (forward_late - forward_orders * p0) / sqrt(forward_orders * p0 * (1 - p0)) as excess from fp2, p0)",
+    sel(["seller_id", ds("as_of_date"), r("case when isnan(excess) or isinf(excess) then null else excess end", "excess"),
+         """case when forward_orders is null or forward_orders < 5 then null
+         when excess >= 1.0 then 1 else 0 end as y"""], "from zs"))
+reg("l05_stratified_label", *PANEL_ALL, FWDP,
+    """el as (select seller_id, as_of_date, forward_rate, forward_orders, date_trunc('month', as_of_date) as month,
+              row_number() over (partition by date_trunc('month', as_of_date) order by forward_orders, seller_id, as_of_date) as rk,
+              count(*) over (partition by date_trunc('month', as_of_date)) as n
+              from fp2 where forward_orders >= 5)""",
+    """eb as (select *, cast(greatest(ceil((rk - 1) * 10.0 / greatest(n - 1, 1)), 1) - 1 as integer) as vol_bin from el)""",
+    """ep as (select *, case when forward_rate is null then null else
+              (rank() over (partition by month, vol_bin order by forward_rate)
+               + (count(*) over (partition by month, vol_bin, forward_rate) - 1) / 2.0)
+              / count(forward_rate) over (partition by month, vol_bin) end as pct from eb)""",
+    sel(["f.seller_id", ds("f.as_of_date"), "ep.vol_bin", r("ep.pct"),
+         "case when ep.forward_rate is null then null when ep.pct >= 0.8 then 1 else 0 end as y"],
+        "from fp2 f left join ep on ep.seller_id = f.seller_id and ep.as_of_date = f.as_of_date"))
+reg("l07_split_half_reliability", *PANEL_ALL, HALVES,
+    "rr as (select l1 / o1 as r1, l2 / o2 as r2 from hv where o1 >= 5 and o2 >= 5 and l1 is not null and l2 is not null)",
+    "rk as (select r1, r2, rank() over (order by r1) + (count(*) over (partition by r1) - 1) / 2.0 as a1, rank() over (order by r2) + (count(*) over (partition by r2) - 1) / 2.0 as a2 from rr)",
+    """select count(*) as n, case when count(*) >= 500 then round(corr(r1, r2), 6) end as pearson,
+              case when count(*) >= 500 then round(corr(a1, a2), 6) end as spearman from rk""")
+
+VOL = """pg as (select d as signal_date, p.value from days left join v_prices p using (d)),
+pf as (select signal_date, coalesce(
+         last_value(value ignore nulls) over (order by signal_date rows between unbounded preceding and current row),
+         first_value(value ignore nulls) over (order by signal_date rows between current row and unbounded following)) as value
+       from pg),
+pr0 as (select *, value / lag(value) over (order by signal_date) - 1 as ret from pf),
+pv as (select *, case when count(ret) over (order by signal_date rows between 13 preceding and current row) >= 2
+                 then stddev_samp(ret) over (order by signal_date rows between 13 preceding and current row) end as vol from pr0),
+mm as (select min(vol) as lo, max(vol) as hi from pv),
+ps as (select signal_date, case when hi > lo then (vol - lo) / (hi - lo) else vol * 0 end as scaled from pv, mm),
+md as (select median(scaled) as med from ps),
+vol as (select signal_date, round(least(greatest(coalesce(scaled, med), 0.0), 1.0), 4) as value from ps, md)"""
+reg("w15_price_volatility", VOL, sel([ds("signal_date"), r("value")], "from vol"))
+reg("w16_fill_prices", VOL, sel([ds("signal_date"), r("value")], "from pf"))
+reg("j10_replicate_series", VOL,
+    sel(["s.seller_state", ds("v.signal_date"), "'commodity' as source", r("v.value"), "0 as is_synthetic"],
+        "from vol v, (select distinct seller_state from v_sellers) s"))
+reg("s18_event_props", "select event_id, event_type, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
+
+NUMERIC_FT = ["n_items", "total_price", "total_freight", "promised_days", "shipping_limit_days", "handover_share",
+              "purchase_hour", "purchase_dow", "purchase_month", "purchase_is_weekend", "freight_ratio",
+              "price_per_item", "density", "log_weight", "log_volume", "same_state", "zip_gap", "seller_zip_region",
+              "customer_zip_region", "seller_prior_orders", "seller_prior_late_rate", "state_prior_orders",
+              "state_prior_late_rate"]
+reg("a17_label_correlations", *FT_ALL,
+    "cw as (select " + ", ".join(f"corr(cast({c} as double), cast(is_late_delivery as double)) as {c}" for c in NUMERIC_FT) + " from ft)",
+    "cl as (unpivot cw on " + ", ".join(NUMERIC_FT) + " into name feature value corr)",
+    "select feature, round(corr, 6) as corr, round(abs(corr), 6) as abs_corr from cl where corr is not null order by abs(corr) desc, feature limit 10")
+reg("a19_grouped_describe", *FT_ALL,
+    sel(["is_late_delivery", "count(promised_days) as count", r("avg(promised_days)", "mean"),
+         r("stddev_samp(promised_days)", "std"), r("min(promised_days)", "min"), r("max(promised_days)", "max"),
+         r("quantile_cont(promised_days, 0.25)", "p25"), r("quantile_cont(promised_days, 0.5)", "p50"),
+         r("quantile_cont(promised_days, 0.75)", "p75")], "from ft group by 1"))
+FT_ALLCOLS = ["order_id", "seller_id", "n_items", "total_price", "total_freight", "category", "customer_state",
+              "seller_state"] + NUMERIC_FT[3:] + ["is_late_delivery", "as_of_date"]
+reg("a20_missing_share", *FT_ALL,
+    "mw as (select " + ", ".join(f"avg(case when {c} is null then 1.0 else 0.0 end) * 100 as {c}" for c in FT_ALLCOLS) + " from ft)",
+    "ml as (unpivot mw on " + ", ".join(FT_ALLCOLS) + " into name feature value missing_pct)",
+    "select feature, round(missing_pct, 6) as missing_pct from ml where missing_pct > 0")

@@ -1 +1,181 @@
-"""Registered queries."""
+"""Queries: seller-day panel, windows, forward labels, label studies, signals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slipway.operators import labels as lb
+from slipway.operators import panel as pn
+from slipway.operators import signals as sg
+from slipway.plans.queries import dom, register, report
+
+WS = [7, 14, 30]
+
+
+def _panel(d):
+    return pn.seller_day_panel(pn.seller_day_orders(d.orders, d.order_items), 10)
+
+
+def _hist(d):
+    return pn.delivery_history(_panel(d), WS)
+
+
+def _fwd(d):
+    return lb.attach_forward(_panel(d))
+
+
+@register("w01_seller_day_panel")
+def w01(spark, sf):
+    return report(_panel(dom(spark, sf)))
+
+
+@register("w01_empty_panel")
+def w01e(spark, sf):
+    d = dom(spark, sf)
+    return report(pn.seller_day_panel(pn.seller_day_orders(d.orders, d.order_items), 10_000_000))
+
+
+@register("w02_trailing_delivery_counts")
+def w02(spark, sf):
+    h = _hist(dom(spark, sf))
+    cols = [f"{k}_{w}d" for w in WS for k in ("late_count", "order_count", "late_rate")]
+    return report(h.select("seller_id", "as_of_date", *cols))
+
+
+@register("w03_late_rate_trend")
+def w03(spark, sf):
+    return report(_hist(dom(spark, sf)).select("seller_id", "as_of_date", "late_rate_trend"))
+
+
+@register("w04_days_since_last_late")
+def w04(spark, sf):
+    return report(_hist(dom(spark, sf)).select("seller_id", "as_of_date", "days_since_last_late"))
+
+
+@register("w05_review_windows")
+def w05(spark, sf):
+    d = dom(spark, sf)
+    p = pn.review_features(_panel(d), pn.seller_day_reviews(d.reviews, d.order_items), WS)
+    return report(p.select("seller_id", "as_of_date", *[f"{k}_{w}d" for w in WS for k in ("review_score_avg", "bad_reviews")]))
+
+
+@register("w06_signal_windows")
+def w06(spark, sf):
+    d = dom(spark, sf)
+    p = pn.signal_features(_panel(d), d.sellers, pn.signals_wide(d.signals), WS)
+    return report(p.select("seller_id", "as_of_date", "seller_state",
+                           *[f"{n}_{w}d" for n in pn.SIGNAL_NAMES.values() for w in WS]))
+
+
+@register("w07_w09_profile_features")
+def w07(spark, sf):
+    d = dom(spark, sf)
+    p = pn.signal_features(_hist(d), d.sellers, pn.signals_wide(d.signals), [7])
+    p = pn.profile_features(p)
+    return report(p.select("seller_id", "as_of_date", "lifetime_late_rate", "state_peer_late_rate",
+                           "seller_tenure_days"))
+
+
+@register("w10_forward_sums")
+def w10(spark, sf):
+    f = _fwd(dom(spark, sf))
+    return report(f.select("seller_id", "as_of_date", "forward_late", "forward_orders", "forward_rate"))
+
+
+@register("w11_offset_window_sum")
+def w11(spark, sf):
+    return report(lb.split_halves(_panel(dom(spark, sf))))
+
+
+@register("w12_forward_label")
+def w12(spark, sf):
+    p = pn.attach_label(_panel(dom(spark, sf)), 30, 0.15, 5)
+    return report(p.select("seller_id", "as_of_date", "forward_orders", "late_rate_next_30d", pn.TARGET))
+
+
+@register("l09_seller_day_feature_table")
+def l09(spark, sf):
+    return report(pn.seller_day_feature_table(dom(spark, sf)))
+
+
+@register("l01_any_late_label")
+def l01(spark, sf):
+    return report(lb.any_late(_fwd(dom(spark, sf))).select("seller_id", "as_of_date", "y"))
+
+
+@register("l02_rate_label")
+def l02(spark, sf):
+    return report(lb.rate_label(_fwd(dom(spark, sf)), 0.25, 5).select("seller_id", "as_of_date", "y"))
+
+
+@register("l03_shrunk_label")
+def l03(spark, sf):
+    f = _fwd(dom(spark, sf))
+    p0 = lb.base_rate(f)
+    return report(lb.shrunk_label(f, 0.25, 20.0, 5, p0).select("seller_id", "as_of_date", "shrunk", "y"))
+
+
+@register("l04_zscore_label")
+def l04(spark, sf):
+    f = _fwd(dom(spark, sf))
+    p0 = lb.base_rate(f)
+    return report(lb.zscore_label(f, 1.0, 5, p0).select("seller_id", "as_of_date", "excess", "y"))
+
+
+@register("l05_stratified_label")
+def l05(spark, sf):
+    f = _fwd(dom(spark, sf))
+    return report(lb.stratified_label(f, 0.2, 5).select("seller_id", "as_of_date", "vol_bin", "pct", "y"))
+
+
+@register("l07_split_half_reliability")
+def l07(spark, sf):
+    return report(lb.split_half_reliability(_panel(dom(spark, sf)), 5, 500))
+
+
+@register("w15_price_volatility")
+def w15(spark, sf):
+    d = dom(spark, sf)
+    return report(sg.daily_volatility(d.prices, d.days))
+
+
+@register("w16_fill_prices")
+def w16(spark, sf):
+    d = dom(spark, sf)
+    g = d.days.select(F.col("d").alias("signal_date")).join(
+        d.prices.select(F.col("d").alias("signal_date"), "value"), "signal_date", "left")
+    return report(sg.fill_forward_back(g, "signal_date", "value"))
+
+
+@register("j10_replicate_series")
+def j10(spark, sf):
+    d = dom(spark, sf)
+    vol = sg.daily_volatility(d.prices, d.days)
+    return report(sg.replicate_to_states(vol, d.sellers))
+
+
+@register("s18_event_props")
+def s18(spark, sf):
+    return report(sg.parse_props(dom(spark, sf).t("events")))
+
+
+@register("a17_label_correlations")
+def a17(spark, sf):
+    """Pearson correlation of every numeric order feature with the label."""
+    from slipway.operators.eda import label_correlations
+    from slipway.operators.order_features import order_feature_table
+    return report(label_correlations(order_feature_table(dom(spark, sf)), "is_late_delivery"))
+
+
+@register("a19_grouped_describe")
+def a19(spark, sf):
+    from slipway.operators.eda import grouped_describe
+    from slipway.operators.order_features import order_feature_table
+    return report(grouped_describe(order_feature_table(dom(spark, sf)), "is_late_delivery", "promised_days"))
+
+
+@register("a20_missing_share")
+def a20(spark, sf):
+    from slipway.operators.eda import missing_share
+    from slipway.operators.order_features import order_feature_table
+    return report(missing_share(order_feature_table(dom(spark, sf))))
