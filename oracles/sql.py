@@ -447,3 +447,203 @@ reg("a20_missing_share", *FT_ALL,
     "mw as (select " + ", ".join(f"avg(case when {c} is null then 1.0 else 0.0 end) * 100 as {c}" for c in FT_ALLCOLS) + " from ft)",
     "ml as (unpivot mw on " + ", ".join(FT_ALLCOLS) + " into name feature value missing_pct)",
     "select feature, round(missing_pct, 6) as missing_pct from ml where missing_pct > 0")
+
+
+# ---------------------------------------------------------------- evaluation on (y, score)
+SC = "sc0 as (select order_id, seller_id, order_id * 1000000 + seller_id as id, y, score from v_scores)"
+CURVE = """g as (select score, count(*) as n, sum(y) as pos from sc0 group by 1),
+cv as (select score, n, pos, n - pos as neg,
+        sum(n) over (order by score desc) as cum_n, sum(pos) over (order by score desc) as cum_pos,
+        sum(n) over () as nt, sum(pos) over () as p from g)"""
+reg("e01_e03_ranking_metrics", SC, CURVE,
+    "ar as (select y, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as ar from sc0)",
+    """mw as (select (sum(ar) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2.0)
+                 / (count(*) filter (where y = 1) * count(*) filter (where y = 0)) as roc_auc from ar)""",
+    """select round(max(abs((p - cum_pos + pos) / greatest(p, 1) - ((nt - p) - (cum_n - cum_pos) + neg) / greatest(nt - p, 1))), 6) as ks_statistic,
+              round((select roc_auc from mw), 6) as roc_auc,
+              round(sum(pos / p * (cum_pos / cum_n)), 6) as pr_auc from cv""")
+RN_DESC = "rd as (select *, row_number() over (order by score desc, id) as rn, count(*) over () as n, sum(y) over () as p from sc0)"
+reg("e04_capture_at_k", SC, RN_DESC,
+    "ks as (select unnest([0.05, 0.10, 0.20]) as k)",
+    """select k, cast(greatest(round_even(n * k, 0), 1) as bigint) as n_reviewed,
+              round(sum(y) / greatest(p, 1), 6) as capture,
+              round(sum(y) / greatest(round_even(n * k, 0), 1), 6) as precision,
+              round(sum(y) / greatest(p, 1) / k, 6) as lift
+       from rd, ks where rn <= greatest(round_even(n * k, 0), 1) group by k, n, p""")
+reg("k02_top_k_rows", SC, RN_DESC,
+    "select order_id, seller_id, rn from rd where rn <= greatest(round_even(n * 0.1, 0), 1)")
+BINS = """ra as (select *, row_number() over (order by score, id) as r, count(*) over () as n from sc0),
+bn as (select *, cast(greatest(ceil((r - 1) * 10.0 / greatest(n - 1, 1)), 1) - 1 as integer) as bin from ra),
+rel as (select bin, avg(score) as mean_predicted, avg(cast(y as double)) as observed_rate, count(*) as n from bn group by 1)"""
+reg("w13_equal_count_bins", SC, BINS, "select order_id, seller_id, bin from bn")
+reg("e05_reliability_table", SC, BINS, sel(["bin", r("mean_predicted"), r("observed_rate"), "n"], "from rel"))
+reg("e06_expected_calibration_error", SC, BINS,
+    "select round(sum(n * 1.0 / (select sum(n) from rel) * abs(mean_predicted - observed_rate)), 6) as ece from rel")
+THR = """tm as (select count(*) as n_eval,
+   count(*) filter (where score >= {t} and y = 1) as true_positives,
+   count(*) filter (where score >= {t} and y = 0) as false_positives,
+   count(*) filter (where score < {t} and y = 1) as false_negatives,
+   count(*) filter (where score < {t} and y = 0) as true_negatives,
+   avg(cast(y as double)) as base_rate, min(score) as mn, max(score) as mx, avg((score - y) * (score - y)) as b
+   from sc0)"""
+reg("e07_e08_threshold_metrics", SC, THR.format(t=0.05),
+    sel(["n_eval", "true_positives", "false_positives", "false_negatives", "true_negatives", r("base_rate"),
+         r("coalesce(true_positives / nullif(true_positives + false_positives, 0), 0)", "precision"),
+         r("coalesce(true_positives / nullif(true_positives + false_negatives, 0), 0)", "recall"),
+         r("coalesce(2 * true_positives / nullif(2 * true_positives + false_positives + false_negatives, 0), 0)", "f1"),
+         r("case when mn >= 0 and mx <= 1 then b end", "brier"),
+         "case when mn >= 0 and mx <= 1 then 1 else 0 end as is_probability",
+         r("(true_positives + false_positives) / n_eval", "alert_volume")], "from tm"))
+reg("e09_f1_optimal_threshold", SC, CURVE,
+    "f as (select score, cum_pos / cum_n as pr, cum_pos / greatest(p, 1) as rc from cv)",
+    "f2 as (select *, 2 * pr * rc / (pr + rc + 1e-9) as f1 from f)",
+    sel([r("score", "optimal_threshold"), r("pr", "precision_at_optimal"), r("rc", "recall_at_optimal"),
+         r("f1", "f1_at_optimal")], "from f2 order by f1 desc, score asc limit 1"))
+COST = """th as (select distinct unnest(quantile_cont(score, [{qs}])) as threshold from sc0),
+cc as (select threshold, count(*) filter (where y = 1 and score < threshold) as fn,
+              count(*) filter (where y = 0 and score >= threshold) as fp from th, sc0 group by 1),
+cc2 as (select *, fn * 10.0 + fp * 1.0 as total_cost from cc)""".format(qs=", ".join(str(i / 100) for i in range(1, 100)))
+reg("e10_cost_curve", SC, COST, sel([r("threshold"), "fn", "fp", r("total_cost")], "from cc2"))
+reg("e10_cost_optimal_threshold", SC, COST,
+    "bl as (select count(*) filter (where y = 1) * 10.0 as baseline_cost_no_model from sc0)",
+    sel([r("threshold", "cost_optimal_threshold"), r("total_cost"), r("baseline_cost_no_model"),
+         r("1.0 - total_cost / greatest(baseline_cost_no_model, 1e-9)", "cost_reduction")],
+        "from (select * from cc2 order by total_cost, threshold limit 1) b, bl"))
+
+MODELS = """ml as (select 'promise' as model, id, y, score from sc0
+  union all select 'hashed', id, y, ((order_id * 7919 + seller_id * 31) % 1000) / 1e3 from sc0
+  union all select 'inverse', id, y, 1.0 - score from sc0),
+mg as (select model, score, count(*) as n, sum(y) as pos from ml group by 1, 2),
+mc as (select *, sum(n) over (partition by model order by score desc) as cum_n,
+        sum(pos) over (partition by model order by score desc) as cum_pos,
+        sum(n) over (partition by model) as nt, sum(pos) over (partition by model) as p from mg),
+mrank as (select model, round(sum(pos / p * (cum_pos / cum_n)), 6) as pr_auc,
+        round(sum((n - pos) * (cum_pos - pos / 2.0)) / (max(p) * max(nt - p)), 6) as roc_auc,
+        round(max(abs((p - cum_pos + pos) / greatest(p, 1) - ((nt - p) - (cum_n - cum_pos) + (n - pos)) / greatest(nt - p, 1))), 6) as ks_statistic
+        from mc group by 1)"""
+reg("e11_model_comparison", SC, MODELS,
+    """mr as (select *, row_number() over (partition by model order by score desc, id) as rn,
+                     row_number() over (partition by model order by score, id) as ra,
+                     count(*) over (partition by model) as n, sum(y) over (partition by model) as p from ml)""",
+    """cap as (select model,
+        sum(y) filter (where rn <= greatest(round_even(n * 0.1, 0), 1)) / greatest(max(p), 1) as capture_at_10pct,
+        sum(y) filter (where rn <= greatest(round_even(n * 0.2, 0), 1)) / greatest(max(p), 1) as capture_at_20pct,
+        count(*) filter (where score >= 0.5 and y = 1) as tp, count(*) filter (where score >= 0.5 and y = 0) as fp,
+        count(*) filter (where score < 0.5 and y = 1) as fn, avg((score - y) * (score - y)) as b,
+        min(score) as mn, max(score) as mx from mr group by 1)""",
+    """mb as (select model, cast(greatest(ceil((ra - 1) * 10.0 / greatest(n - 1, 1)), 1) - 1 as integer) as bin, score, y from mr)""",
+    """me as (select model, sum(c * 1.0 / t * abs(mp - orate)) as ece from
+        (select model, bin, count(*) as c, sum(count(*)) over (partition by model) as t, avg(score) as mp, avg(cast(y as double)) as orate
+         from mb group by 1, 2) x group by 1)""",
+    sel(["m.model", "m.pr_auc", "m.roc_auc", "m.ks_statistic", r("capture_at_10pct"), r("capture_at_10pct / 0.1", "lift_at_10pct"),
+         r("capture_at_20pct"), r("case when mn >= 0 and mx <= 1 then b end", "brier"), r("me.ece", "ece"),
+         r("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)", "f1"), r("coalesce(tp / nullif(tp + fp, 0), 0)", "precision"),
+         r("coalesce(tp / nullif(tp + fn, 0), 0)", "recall")],
+        "from mrank m join cap using (model) join me using (model)"))
+reg("e19_quality_gate", SC, MODELS,
+    "select model as best_model, pr_auc, case when pr_auc >= 0.13 then 1 else 0 end as passed from mrank order by pr_auc desc, model desc limit 1")
+reg("e12_fixed_band", SC,
+    """select order_id, seller_id, case when score >= 0.08 then 'critical' when score >= 0.05 then 'high'
+              when score >= 0.03 then 'medium' else 'low' end as band from sc0""")
+ABL_COLS = ["promised_days", "zip_gap", "purchase_hour", "n_items", "total_price"]
+reg("e20_single_column_ablation", *FT_ALL,
+    "al as (unpivot (select order_id * 1000000 + seller_id as id, is_late_delivery as y, " +
+    ", ".join(f"cast({c} as double) as {c}" for c in ABL_COLS) + " from ft) on " + ", ".join(ABL_COLS) +
+    " into name feature value x)",
+    """a1 as (select feature, y, rank() over (partition by feature order by x) + (count(*) over (partition by feature, x) - 1) / 2.0 as ar from al)""",
+    """auc as (select feature, (sum(ar) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2.0)
+                 / (count(*) filter (where y = 1) * count(*) filter (where y = 0)) as auc0 from a1 group by 1)""",
+    "al2 as (select al.feature, al.y, case when auc0 < 0.5 then -x else x end as score, auc0 < 0.5 as fl from al join auc using (feature))",
+    """g2 as (select feature, score, count(*) as n, sum(y) as pos from al2 group by 1, 2),
+c2 as (select *, sum(n) over (partition by feature order by score desc) as cum_n, sum(pos) over (partition by feature order by score desc) as cum_pos,
+        sum(n) over (partition by feature) as nt, sum(pos) over (partition by feature) as p from g2)""",
+    sel(["feature", r("sum(pos / p * (cum_pos / cum_n))", "pr_auc"),
+         r("sum((n - pos) * (cum_pos - pos / 2.0)) / (max(p) * max(nt - p))", "roc_auc"),
+         r("max(abs((p - cum_pos + pos) / greatest(p, 1) - ((nt - p) - (cum_n - cum_pos) + (n - pos)) / greatest(nt - p, 1)))", "ks_statistic"),
+         "cast(max(case when feature in (select feature from auc where auc0 < 0.5) then 1 else 0 end) as integer) as flipped"],
+        "from c2 group by feature"))
+reg("a23_score_quantiles", SC,
+    "qv as (select [{qs}] as qs, quantile_cont(score, [{qs}]) as vs from sc0)".format(qs=", ".join(str(i / 100) for i in range(1, 100))),
+    "select round(qs[i], 6) as q, round(vs[i], 6) as value from qv, range(1, 100) t(i)")
+
+SPLITPTS = """nn as (select count(*) as n from ft),
+srt as (select as_of_date, row_number() over (order by as_of_date) - 1 as i from ft),
+pts as (select (select as_of_date from srt, nn where i = round_even((n - 1) * 0.8, 0)) as test_start,
+               (select as_of_date from srt, nn where i = round_even((n - 1) * 0.7000000000000001, 0)) as calib_start)"""
+reg("a22_nearest_date_quantiles", *FT_ALL, SPLITPTS, sel([ts("test_start"), ts("calib_start")], "from pts"))
+BLOCK = """blk as (select ft.*, case when as_of_date >= test_start then 'test'
+            when as_of_date >= calib_start and as_of_date < test_start - interval 30 day then 'calib'
+            when as_of_date < calib_start - interval 30 day then 'train' end as block from ft, pts)"""
+reg("m01_purged_split", *FT_ALL, SPLITPTS, BLOCK, "select order_id, seller_id, block from blk")
+reg("m02_chronological_split", *FT_ALL,
+    """nn as (select count(*) as n from ft),
+srt as (select as_of_date, row_number() over (order by as_of_date) - 1 as i from ft),
+pts as (select (select as_of_date from srt, nn where i = round_even((n - 1) * 0.8, 0)) as t0)""",
+    "select order_id, seller_id, case when as_of_date >= t0 then 'test' when as_of_date < t0 then 'train' end as block from ft, pts")
+reg("m03_forward_folds", *FT_ALL,
+    "ri as (select order_id, seller_id, row_number() over (order by as_of_date, order_id * 1000000 + seller_id) - 1 as row_idx, count(*) over () as n from ft)",
+    "rf as (select *, n // 4 as tsz from ri)",
+    """select order_id, seller_id, row_idx, case
+         when row_idx >= n - 3 * tsz and row_idx < n - 2 * tsz then 1
+         when row_idx >= n - 2 * tsz and row_idx < n - 1 * tsz then 2
+         when row_idx >= n - 1 * tsz and row_idx < n then 3 end as test_fold from rf""")
+reg("u03_blocks_disjoint", *FT_ALL, SPLITPTS, BLOCK,
+    """select a as block_a, b as block_b, (select count(*) from (
+         select order_id, seller_id from blk where block = a intersect select order_id, seller_id from blk where block = b)) as n_common
+       from (values ('train', 'calib'), ('train', 'test'), ('calib', 'test')) v(a, b)""")
+reg("k08_recent_rows", *FT_ALL,
+    "select order_id, seller_id from ft order by as_of_date desc, order_id * 1000000 + seller_id desc limit 80000")
+NUMC = ["n_items", "total_price", "promised_days", "handover_share", "freight_ratio", "density", "zip_gap",
+        "seller_prior_late_rate"]
+reg("m04_numeric_prep", *FT_ALL, SPLITPTS, BLOCK,
+    "md as (select " + ", ".join(f"median({c}) as {c}" for c in NUMC) + " from blk where block = 'train')",
+    "imp as (select blk.order_id, blk.seller_id, blk.block, " +
+    ", ".join(f"coalesce(cast(blk.{c} as double), md.{c}) as {c}" for c in NUMC) + " from blk, md)",
+    "ms as (select " + ", ".join(f"avg({c}) as m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) as s_{c}" for c in NUMC) +
+    " from imp where block = 'train')",
+    sel(["order_id", "seller_id"] + [r(f"({c} - m_{c}) / s_{c}", c) for c in NUMC], "from imp, ms"))
+CATS = ["category", "customer_state", "seller_state"]
+reg("m05_one_hot_long", *FT_ALL, SPLITPTS, BLOCK,
+    " , ".join(f"""mo_{c} as (select {c} as v from blk where block = 'train' and {c} is not null group by 1 order by count(*) desc, {c} limit 1),
+lv_{c} as (select distinct coalesce({c}, (select v from mo_{c})) as v from blk where block = 'train')""" for c in CATS),
+    " union all ".join(f"""select order_id, seller_id, '{c}' as "column", coalesce({c}, (select v from mo_{c})) as level from blk
+        where coalesce({c}, (select v from mo_{c})) in (select v from lv_{c})""" for c in CATS))
+reg("m07_class_weights", *FT_ALL, SPLITPTS, BLOCK,
+    """tw as (select count(*) as n, count(*) filter (where is_late_delivery = 1) as pos,
+              count(*) filter (where is_late_delivery = 0) as neg from blk where block = 'train')""",
+    sel(["n", "pos", "neg", r("n / (2.0 * neg)", "w_neg"), r("n / (2.0 * pos)", "w_pos"), r("neg / pos", "scale_pos_weight")],
+        "from tw"))
+REFCUR = """nn as (select count(*) as n from ft),
+srt as (select as_of_date, row_number() over (order by as_of_date) - 1 as i from ft),
+cutp as (select as_of_date as cut from srt, nn where i = floor(n * 0.5)),
+rc as (select ft.*, case when as_of_date < cut then 'reference' else 'current' end as "window" from ft, cutp)"""
+reg("d01_reference_current_split", *FT_ALL, REFCUR,
+    sel(['"window"', "count(*) as n", ts("min(as_of_date)", "first"), ts("max(as_of_date)", "last")], 'from rc group by 1'))
+DRIFT = """lvv as (unpivot (select "window", """ + ", ".join(f"cast({c} as double) as {c}" for c in NUMC) + """ from rc)
+          on """ + ", ".join(NUMC) + """ into name feature value value),
+dg as (select feature, value, count(*) filter (where "window" = 'reference') as nr,
+              count(*) filter (where "window" = 'current') as nc from lvv where value is not null group by 1, 2),
+dc as (select *, sum(nr) over (partition by feature order by value) * 1.0 / sum(nr) over (partition by feature) as fr,
+              sum(nc) over (partition by feature order by value) * 1.0 / sum(nc) over (partition by feature) as fc,
+              lead(value) over (partition by feature order by value) - value as gap,
+              sum(nr) over (partition by feature) as n_reference, sum(nc) over (partition by feature) as n_current from dg),
+dsd as (select feature, stddev_pop(value) as sd from lvv where "window" = 'reference' and value is not null group by 1),
+dd as (select dc.feature, sum(coalesce(abs(fr - fc) * gap, 0)) / nullif(max(sd), 0) as wasserstein, max(abs(fr - fc)) as ks,
+              cast(max(n_reference) as bigint) as n_reference, cast(max(n_current) as bigint) as n_current
+       from dc left join dsd using (feature) group by 1)"""
+reg("d02_drift_distances", *FT_ALL, REFCUR, DRIFT,
+    sel(["feature", r("wasserstein"), r("ks"), "n_reference", "n_current"], "from dd"))
+reg("d03_d04_drift_summary", *FT_ALL, REFCUR, DRIFT,
+    sel(["feature", r("wasserstein", "value"), "case when wasserstein > 0.1 then 1 else 0 end as drifted",
+         "(select count(*) from dd) as n_features", "(select count(*) filter (where wasserstein > 0.1) from dd) as n_drifted",
+         r("(select count(*) filter (where wasserstein > 0.1) from dd) * 1.0 / (select count(*) from dd)", "share_drifted")],
+        "from dd"))
+reg("e16_calibration_report", SC,
+    "cc0 as (select *, score * score as cal from sc0)",
+    """cbin as (select *, cast(greatest(ceil((row_number() over (order by score, id) - 1) * 10.0 / greatest(count(*) over () - 1, 1)), 1) - 1 as integer) as b1,
+                    cast(greatest(ceil((row_number() over (order by cal, id) - 1) * 10.0 / greatest(count(*) over () - 1, 1)), 1) - 1 as integer) as b2 from cc0)""",
+    """e1 as (select sum(c * 1.0 / t * abs(mp - orate)) as ece_raw from (select b1, count(*) as c, sum(count(*)) over () as t, avg(score) as mp, avg(cast(y as double)) as orate from cbin group by 1))""",
+    """e2 as (select sum(c * 1.0 / t * abs(mp - orate)) as ece_cal from (select b2, count(*) as c, sum(count(*)) over () as t, avg(cal) as mp, avg(cast(y as double)) as orate from cbin group by 1))""",
+    sel([r("avg((score - y) * (score - y))", "brier_raw"), r("avg(cast(y as double))", "base_rate"),
+         r("avg((cal - y) * (cal - y))", "brier_cal"), r("(select ece_raw from e1)", "ece_raw"),
+         r("(select ece_cal from e2)", "ece_cal"), r("avg(score)", "mean_raw"), r("avg(cal)", "mean_cal")], "from cc0"))

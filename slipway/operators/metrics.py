@@ -26,17 +26,18 @@ COST_FN, COST_FP = 10.0, 1.0
 
 def score_curve(df: DataFrame, y: str = "y", score: str = "score", part: Sequence[str] = ()) -> DataFrame:
     """Distinct scores (descending) with class counts and inclusive running
-    sums: (part.., score, n, pos, neg, cum_n, cum_pos, cum_neg, P, N)."""
+    sums: (part.., score, n, pos, neg, cum_n, cum_pos, cum_neg, P, n_neg_all).
+    (Spark names are case-insensitive: totals must not be called n/N.)"""
     part = list(part)
     g = (df.groupBy(*part, F.col(score).alias("score"))
            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos")))
     c = prefix_sums(g, [("score", True)], ["n", "pos"], part)
-    tot = g.groupBy(*part).agg(F.sum("n").alias("NT"), F.sum("pos").alias("P")) if part else \
-        g.agg(F.sum("n").alias("NT"), F.sum("pos").alias("P"))
+    tot = g.groupBy(*part).agg(F.sum("n").alias("n_all"), F.sum("pos").alias("P")) if part else \
+        g.agg(F.sum("n").alias("n_all"), F.sum("pos").alias("P"))
     c = c.join(tot, part) if part else c.join(F.broadcast(tot), how="inner")
     return c.select(*part, "score", "n", "pos", (F.col("n") - F.col("pos")).alias("neg"),
                     "cum_n", "cum_pos", (F.col("cum_n") - F.col("cum_pos")).alias("cum_neg"),
-                    "P", (F.col("NT") - F.col("P")).alias("N"))
+                    "P", (F.col("n_all") - F.col("P")).alias("n_neg_all"))
 
 
 def _agg(df: DataFrame, part: Sequence[str], *cols):
@@ -47,14 +48,14 @@ def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score", part: Seq
     """E01 KS, E02 ROC-AUC (ties count 1/2), E03 average precision (step-wise)."""
     c = score_curve(df, y, score, part)
     p_ = F.greatest(F.col("P"), F.lit(1)).cast("double")
-    n_ = F.greatest(F.col("N"), F.lit(1)).cast("double")
+    n_ = F.greatest(F.col("n_neg_all"), F.lit(1)).cast("double")
     # CDF at s counts rows with score <= s (inclusive) = total - rows strictly above.
     cdf_pos = (F.col("P") - F.col("cum_pos") + F.col("pos")) / p_
-    cdf_neg = (F.col("N") - F.col("cum_neg") + F.col("neg")) / n_
+    cdf_neg = (F.col("n_neg_all") - F.col("cum_neg") + F.col("neg")) / n_
     return _agg(c, part,
                 F.max(F.abs(cdf_pos - cdf_neg)).alias("ks_statistic"),
                 ratio(F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)),
-                      F.first("P").cast("double") * F.first("N").cast("double")).alias("roc_auc"),
+                      F.first("P").cast("double") * F.first("n_neg_all").cast("double")).alias("roc_auc"),
                 F.sum(ratio("pos", "P") * (F.col("cum_pos") / F.col("cum_n"))).alias("pr_auc"))
 
 
