@@ -647,3 +647,96 @@ reg("e16_calibration_report", SC,
     sel([r("avg((score - y) * (score - y))", "brier_raw"), r("avg(cast(y as double))", "base_rate"),
          r("avg((cal - y) * (cal - y))", "brier_cal"), r("(select ece_raw from e1)", "ece_raw"),
          r("(select ece_cal from e2)", "ece_cal"), r("avg(score)", "mean_raw"), r("avg(cal)", "mean_cal")], "from cc0"))
+
+
+# ---------------------------------------------------------------- text, retrieval, attribution
+def _chunks(src: str, idc: str, size: int, ov: int) -> str:
+    return f"""ch as (select {idc}, text, length(text) as n from {src}),
+chs as (select {idc}, case when n <= {size} then [0] else range(0, n, {size - ov}) end as starts, text from ch),
+chx as (select {idc}, unnest(starts) as st, generate_subscripts(starts, 1) - 1 as chunk_idx, text from chs)"""
+
+
+reg("t01_chunk_documents", _chunks("documents", "doc_id", 512, 50),
+    """select doc_id, chunk_idx, doc_id || '_chunk' || chunk_idx as chunk_id,
+              case when length(text) <= 512 then text else substring(text, st + 1, 512) end as text from chx""")
+reg("t01_chunk_conversations",
+    "cv0 as (select conv_id * 1000 + turn as msg_id, text from conversations)", _chunks("cv0", "msg_id", 300, 50),
+    """select msg_id, chunk_idx, msg_id || '_chunk' || chunk_idx as chunk_id,
+              case when length(text) <= 300 then text else substring(text, st + 1, 300) end as text from chx""")
+reg("t03_review_documents",
+    """rj as (select oi.seller_id, s.seller_state, r.review_score, r.comment, r.created, r.order_id
+             from v_reviews r join v_order_items oi on oi.order_id = r.order_id join v_sellers s on s.seller_id = oi.seller_id
+             where r.comment is not null and r.comment <> ''
+             order by r.created desc, r.order_id, oi.seller_id limit 2000)""",
+    "rk as (select *, row_number() over (order by created desc, order_id, seller_id) - 1 as i from rj)",
+    """select 'review_' || i || '_' || seller_id as id,
+              'Customer review for seller ' || seller_id || ' (state ' || seller_state || ') on ' || strftime(created, '%Y-%m-%d')
+              || ': ' || review_score || '/5 stars (' || case when review_score <= 2 then 'negative' when review_score >= 4 then 'positive' else 'neutral' end
+              || '). Comment: ' || substring(comment, 1, 300) as text,
+              cast(seller_id as varchar) as seller_id, 'customer_review' as source from rk""")
+TOK = r"""tk as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from documents),
+tc as (select doc_id, term, count(*) as tf from tk group by 1, 2),
+nd as (select count(distinct doc_id) as n from documents),
+tst as (select term, count(*) as df, sum(tf) as ttf from tc group by 1),
+voc as (select term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 as idf from tst, nd
+        where df >= 2 and df <= 0.6 * n order by ttf desc, term limit 4096)"""
+reg("t05_tfidf_vocabulary", TOK, sel(["term", "df", r("idf")], "from voc"))
+reg("t05_tfidf_documents", TOK,
+    "tw as (select tc.doc_id, tc.term, tc.tf * voc.idf as w from tc join voc using (term))",
+    sel(["doc_id", "term", r("w / sqrt(sum(w * w) over (partition by doc_id))", "weight")], "from tw"))
+NN = """dist as (select c.query_id, e.vec_id,
+                list_sum([(cast(x as double) - c.qv[i]) * (cast(x as double) - c.qv[i]) for x, i in e.embedding]) as distance
+         from embeddings e, cen c {w}),
+nn as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from dist)"""
+reg("t06_top_k_nearest",
+    "ex0 as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)",
+    "cen as (select label as query_id, list(a order by i) as qv from (select label, i, avg(v) as a from ex0 group by 1, 2) group by 1)",
+    NN.format(w=""), sel(["query_id", "vec_id", r("distance"), "rank"], "from nn where rank <= 4"))
+reg("t06_top_k_filtered",
+    "ex0 as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)",
+    "cen as (select label as query_id, list(a order by i) as qv from (select label, i, avg(v) as a from ex0 group by 1, 2) group by 1)",
+    NN.format(w="where e.label = 1"), sel(["query_id", "vec_id", r("distance"), "rank"], "from nn where rank <= 4"))
+reg("t08_grounded_answers",
+    "ex0 as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)",
+    "cen as (select label as query_id, list(a order by i) as qv from (select label, i, avg(v) as a from ex0 group by 1, 2) group by 1)",
+    NN.format(w=""),
+    """ctx as (select query_id, count(*) as n_sources, string_agg('- ' || d.text, chr(10) || chr(10) order by rank) as context
+              from nn join documents d on d.doc_id = nn.vec_id where rank <= 4 group by 1)""",
+    """select c.query_id, coalesce(n_sources, 0) as n_sources,
+              case when context is null then 'No relevant information found in the knowledge base for this question.'
+                   else 'Retrieved context:' || chr(10) || chr(10) || context end as answer,
+              case when context is null then 0 else 1 end as grounded
+       from cen c left join ctx using (query_id)""")
+COEFS = {"promised_days": -0.05, "handover_share": 0.8, "zip_gap": 0.00001, "n_items": 0.1,
+         "freight_ratio": 2.0, "purchase_hour": 0.01}
+ATTR = ("""amx as (select max(as_of_date) as m from ft),
+arecent as (select ft.* from ft, amx where ft.as_of_date >= amx.m - interval 90 day),
+bg as (select """ + ", ".join(f"avg(cast({c} as double)) as {c}" for c in COEFS) + """ from arecent),
+att as (""" + " union all ".join(
+    f"select r.order_id, r.seller_id, '{c}' as feature, {v!r} * (cast(r.{c} as double) - bg.{c}) as contribution from arecent r, bg"
+    for c, v in COEFS.items()) + """),
+sm as (select seller_id, feature, avg(contribution) as contribution from att group by 1, 2),
+tops as (select seller_id, feature, contribution, row_number() over (partition by seller_id order by abs(contribution) desc, feature) as k from sm)""")
+reg("x03_linear_attribution", *FT_ALL, ATTR, sel(["order_id", "seller_id", "feature", r("contribution")], "from att"))
+reg("a08_seller_mean_attribution", *FT_ALL, ATTR, sel(["seller_id", "feature", r("contribution")], "from sm"))
+reg("x06_global_importance", *FT_ALL, ATTR, sel(["feature", r("avg(abs(contribution))", "importance")], "from att group by 1"))
+
+reg("k03_top_drivers", *FT_ALL, ATTR, sel(["seller_id", "cast(k as integer) as rank", "feature", r("contribution")], "from tops where k <= 5"))
+reg("k05_biggest_driver", *ROLL_ALL, ATTR,
+    """select t.seller_id, t.feature, case when t.contribution > 0 then 'raises' else 'lowers' end as direction
+       from tops t where k = 1 and t.seller_id in (select seller_id from roll)""")
+reg("x07_explanation_lookup", *ROLL_ALL, ATTR,
+    """select r.seller_id, round(r.risk_score, 6) as risk_score, r.risk_band,
+              (select count(*) from tops t where t.seller_id = r.seller_id and k <= 5) as n_drivers,
+              (select feature from tops t where t.seller_id = r.seller_id and k = 1) as top_feature
+       from roll r where r.seller_id = (select min(seller_id) from roll)""")
+reg("t02_prediction_documents", *ROLL_ALL, ATTR,
+    """dr as (select seller_id, string_agg(feature || ' (' || case when contribution > 0 then 'raises' else 'lowers' end
+                  || ' risk, impact ' || printf('%.2f', abs(round(contribution, 6))) || ')', '; ' order by k) as ft
+             from tops where k <= 5 group by 1)""",
+    """select 'prediction_' || r.seller_id as id,
+              'Seller ' || r.seller_id || ' in zip ' || s.seller_zip || ', state ' || s.seller_state
+              || ', has a current delivery-risk score of ' || printf('%.2f', r.risk_score) || ' (' || r.risk_band
+              || ' risk). Model used: promise-formula. Key contributing factors: ' || coalesce(dr.ft, '') || '.' as text,
+              cast(r.seller_id as varchar) as seller_id, 'prediction' as source
+       from roll r left join v_sellers s on s.seller_id = r.seller_id left join dr on dr.seller_id = r.seller_id""")
