@@ -8,6 +8,7 @@ from slipway.operators import labels as lb
 from slipway.operators import panel as pn
 from slipway.operators import signals as sg
 from slipway.plans.queries import dom, register, report
+from slipway.session import cut_lineage
 
 WS = [7, 14, 30]
 
@@ -124,7 +125,7 @@ def l04(spark, sf):
 
 @register("l05_stratified_label")
 def l05(spark, sf):
-    f = _fwd(dom(spark, sf))
+    f = cut_lineage(_fwd(dom(spark, sf)))
     return report(lb.stratified_label(f, 0.2, 5).select("seller_id", "as_of_date", "vol_bin", "pct", "y"))
 
 
