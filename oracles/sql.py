@@ -740,3 +740,35 @@ reg("t02_prediction_documents", *ROLL_ALL, ATTR,
               || ' risk). Model used: promise-formula. Key contributing factors: ' || coalesce(dr.ft, '') || '.' as text,
               cast(r.seller_id as varchar) as seller_id, 'prediction' as source
        from roll r left join v_sellers s on s.seller_id = r.seller_id left join dr on dr.seller_id = r.seller_id""")
+
+
+# ---------------------------------------------------------------- cleaning, catalog, run log
+reg("p13_nonempty_text", "select review_id, order_id from v_reviews where comment is not null and comment <> ''")
+reg("p15_handle_missing", *FT_ALL,
+    "mdn as (select median(density) as d, median(log_weight) as lw, median(seller_prior_late_rate) as sp from ft)",
+    sel(["order_id", "seller_id", r("coalesce(density, d)", "density"), r("coalesce(log_weight, lw)", "log_weight"),
+         r("coalesce(seller_prior_late_rate, sp)", "seller_prior_late_rate")],
+        "from ft, mdn where order_id is not null and seller_id is not null"))
+reg("p16_winsorise", *FT_ALL,
+    """qq as (select quantile_cont(total_price, 0.25) as a1, quantile_cont(total_price, 0.75) as a3,
+                     quantile_cont(zip_gap, 0.25) as b1, quantile_cont(zip_gap, 0.75) as b3,
+                     quantile_cont(density, 0.25) as c1, quantile_cont(density, 0.75) as c3 from ft)""",
+    sel(["order_id", "seller_id",
+         r("least(greatest(total_price, a1 - 1.5 * (a3 - a1)), a3 + 1.5 * (a3 - a1))", "total_price"),
+         r("least(greatest(zip_gap, b1 - 1.5 * (b3 - b1)), b3 + 1.5 * (b3 - b1))", "zip_gap"),
+         r("case when density is null then null else least(greatest(density, c1 - 1.5 * (c3 - c1)), c3 + 1.5 * (c3 - c1)) end", "density")],
+        "from ft, qq"))
+reg("p18_drop_duplicates",
+    """dd as (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity) as rn
+              from lineitem)""",
+    sel(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r("l_quantity")], "from dd where rn = 1"))
+reg("p18_exact_distinct", "select distinct l_returnflag, l_linestatus, l_linenumber from lineitem")
+reg("s12_reload_counts", """select 'sellers' as table_name, count(*) as n_rows from v_sellers
+    union all select 'customers', count(*) from v_customers union all select 'products', count(*) from v_products
+    union all select 'orders', count(*) from v_orders union all select 'order_items', count(*) from v_order_items
+    union all select 'reviews', count(*) from v_reviews union all select 'external_signals', count(*) from v_signals""")
+RUNS = """runs as (select model, pr_auc, roc_auc, row_number() over (order by pr_auc desc, model desc) as version from mrank)"""
+reg("s21_run_log", SC, MODELS, RUNS,
+    "select model, pr_auc, roc_auc, case when version = 1 then 'Production' else 'Archived' end as stage from runs")
+reg("x11_live_model", SC, MODELS, RUNS,
+    "select 'ok' as status, model as model_name, 'Production' as model_stage from runs where version = 1")

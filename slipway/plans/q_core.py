@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slipway.functions.exprs import day_no
@@ -326,3 +327,77 @@ def p08(spark, sf):
 
 
 __all__ = ["day_no"]
+
+
+# ------------------------------------------------------------------ cleaning, catalog, run log
+@register("p13_nonempty_text")
+def p13(spark, sf):
+    r = dom(spark, sf).reviews
+    return report(r.filter(F.col("comment").isNotNull() & (F.col("comment") != "")).select("review_id", "order_id"))
+
+
+@register("p15_handle_missing")
+def p15(spark, sf):
+    from slipway.operators.prep import handle_missing
+    f = _features(dom(spark, sf)).select("order_id", "seller_id", "density", "log_weight", "seller_prior_late_rate")
+    return report(handle_missing(f, "median"))
+
+
+@register("p16_winsorise")
+def p16(spark, sf):
+    from slipway.operators.prep import remove_outliers
+    f = _features(dom(spark, sf)).select("order_id", "seller_id", "total_price", "zip_gap", "density")
+    return report(remove_outliers(f, ["total_price", "zip_gap", "density", "not_a_column"], 1.5))
+
+
+@register("p18_drop_duplicates")
+def p18(spark, sf):
+    from slipway.operators.prep import drop_duplicates
+    li = dom(spark, sf).t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return report(drop_duplicates(li, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity"]))
+
+
+@register("p18_exact_distinct")
+def p18d(spark, sf):
+    from slipway.operators.prep import drop_duplicates
+    li = dom(spark, sf).t("lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    return report(drop_duplicates(li))
+
+
+@register("s12_reload_counts")
+def s12(spark, sf):
+    d = dom(spark, sf)
+    views = {"sellers": d.sellers, "customers": d.customers, "products": d.products, "orders": d.orders,
+             "order_items": d.order_items, "reviews": d.reviews, "external_signals": d.signals}
+    out = None
+    for name, v in views.items():
+        c = v.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        out = c if out is None else out.unionByName(c)
+    return report(out)
+
+
+def _runs(spark, sf):
+    """Run log built from the model comparison; best PR-AUC promoted."""
+    from slipway.operators import metrics as me
+    from slipway.plans.q_eval import _models
+    m = _models(dom(spark, sf))
+    r = me.ranking_metrics(m, part=["model"])
+    rank = F.row_number().over(Window.orderBy(F.desc("pr_auc"), F.desc("model")))  # <= #models rows
+    return r.withColumn("version", rank).withColumn(
+        "stage", F.when(F.col("version") == 1, "Production").otherwise("Archived"))
+
+
+@register("s21_run_log")
+def s21(spark, sf):
+    return report(_runs(spark, sf).select("model", "pr_auc", "roc_auc", "stage"))
+
+
+@register("x11_live_model")
+def x11(spark, sf):
+    runs = _runs(spark, sf)
+    prod = runs.filter(F.col("stage") == "Production").agg(F.max("model").alias("p"))
+    best = runs.agg(F.max_by("model", F.struct("pr_auc", "model")).alias("b"))
+    j = prod.crossJoin(best)
+    return report(j.select(F.when(F.col("p").isNotNull() | F.col("b").isNotNull(), "ok").otherwise("none registered")
+                           .alias("status"), F.coalesce("p", "b").alias("model_name"),
+                           F.when(F.col("p").isNotNull(), "Production").otherwise("evaluated").alias("model_stage")))
