@@ -14,7 +14,7 @@ WS = [7, 14, 30]
 
 
 def _panel(d):
-    return pn.seller_day_panel(pn.seller_day_orders(d.orders, d.order_items), 10)
+    return pn.seller_day_panel(cut_lineage(pn.seller_day_orders(d.orders, d.order_items)), 10)
 
 
 def _hist(d):
