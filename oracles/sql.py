@@ -772,3 +772,8 @@ reg("s21_run_log", SC, MODELS, RUNS,
     "select model, pr_auc, roc_auc, case when version = 1 then 'Production' else 'Archived' end as stage from runs")
 reg("x11_live_model", SC, MODELS, RUNS,
     "select 'ok' as status, model as model_name, 'Production' as model_stage from runs where version = 1")
+reg("s17_series_payload_parse", sel([ds("d", "date"), r("value")], "from v_prices"))
+reg("p03_safe_coercion",
+    """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value, 6) as value,
+              try_cast(json_extract_string(props, '$.k') as bigint) as k, try_cast(event_type as double) as type_as_number
+       from events""")

@@ -180,3 +180,23 @@ def a20(spark, sf):
     from slipway.operators.eda import missing_share
     from slipway.operators.order_features import order_feature_table
     return report(missing_share(order_feature_table(dom(spark, sf))))
+
+
+@register("s17_series_payload_parse")
+def s17(spark, sf):
+    """Daily price series landed as monthly JSON payloads ('.' = missing),
+    parsed back to (date, value) with the gaps dropped."""
+    from slipway.sources.io import landed_series_payloads
+    d = dom(spark, sf)
+    grid = d.days.join(d.prices, "d", "left")
+    return report(sg.parse_series_payload(landed_series_payloads(grid, "d", "value")))
+
+
+@register("p03_safe_coercion")
+def p03(spark, sf):
+    """Text fields coerced to typed columns; unparsable values become NULL."""
+    e = dom(spark, sf).t("events")
+    s = e.select("event_id", F.col("ts").cast("string").alias("ts_s"), F.col("value").cast("string").alias("v_s"),
+                 F.get_json_object("props", "$.k").alias("k_s"), F.col("event_type").alias("t_s"))
+    return report(s.select("event_id", F.try_to_timestamp("ts_s").alias("ts"), F.col("v_s").try_cast("double").alias("value"),
+                           F.col("k_s").try_cast("long").alias("k"), F.col("t_s").try_cast("double").alias("type_as_number")))
