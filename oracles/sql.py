@@ -777,3 +777,32 @@ reg("p03_safe_coercion",
     """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value, 6) as value,
               try_cast(json_extract_string(props, '$.k') as bigint) as k, try_cast(event_type as double) as type_as_number
        from events""")
+reg("l08_persistence_auc", *PANEL_ALL, HISTP, FWDP,
+    "sw as (select unnest([5, 10, 20, 30, 50]) as min_n)",
+    """hf as (select f.seller_id, f.as_of_date, f.forward_rate, f.forward_orders, h.late_rate_30d
+              from fp2 f join hp2 h using (seller_id, as_of_date))""",
+    """e0 as (select sw.min_n, hf.*, date_trunc('month', as_of_date) as month,
+              row_number() over (partition by sw.min_n, date_trunc('month', as_of_date) order by forward_orders, seller_id, as_of_date) as rk,
+              count(*) over (partition by sw.min_n, date_trunc('month', as_of_date)) as n
+              from hf, sw where forward_orders >= sw.min_n)""",
+    "e1 as (select *, cast(greatest(ceil((rk - 1) * 10.0 / greatest(n - 1, 1)), 1) - 1 as integer) as vol_bin from e0)",
+    """e2 as (select *, (rank() over (partition by min_n, month, vol_bin order by forward_rate)
+              + (count(*) over (partition by min_n, month, vol_bin, forward_rate) - 1) / 2.0)
+              / count(forward_rate) over (partition by min_n, month, vol_bin) as pct from e1 where forward_rate is not null)""",
+    "e3 as (select *, case when pct >= 0.8 then 1 else 0 end as y from e2)",
+    "cnt as (select min_n, count(*) as n_rows from e3 group by 1 having count(*) >= 3000)",
+    """sp0 as (select e3.*, row_number() over (partition by e3.min_n order by as_of_date) - 1 as i, cnt.n_rows
+               from e3 join cnt using (min_n))""",
+    "tst as (select min_n, max(as_of_date) filter (where i = round_even((n_rows - 1) * 0.8, 0)) as t0 from sp0 group by 1)",
+    """blk2 as (select e3.min_n, e3.y, e3.late_rate_30d,
+               case when as_of_date >= t0 then 'test' when as_of_date < t0 - interval 30 day then 'train' end as block
+               from e3 join tst using (min_n))""",
+    "md2 as (select min_n, median(late_rate_30d) filter (where block = 'train') as med from blk2 group by 1)",
+    "te as (select b.min_n, b.y, coalesce(b.late_rate_30d, m.med) as s from blk2 b join md2 m using (min_n) where block = 'test')",
+    "ok as (select min_n, count(*) as test_rows from te group by 1 having count(*) >= 500 and count(distinct y) = 2)",
+    """ar2 as (select te.min_n, y, rank() over (partition by te.min_n order by s) + (count(*) over (partition by te.min_n, s) - 1) / 2.0 as ar
+               from te join ok using (min_n))""",
+    """select a.min_n, c.n_rows, o.test_rows,
+              round((sum(ar) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2.0)
+                    / (count(*) filter (where y = 1) * count(*) filter (where y = 0)), 6) as persistence_auc
+       from ar2 a join cnt c using (min_n) join ok o using (min_n) group by a.min_n, c.n_rows, o.test_rows""")

@@ -200,3 +200,10 @@ def p03(spark, sf):
                  F.get_json_object("props", "$.k").alias("k_s"), F.col("event_type").alias("t_s"))
     return report(s.select("event_id", F.try_to_timestamp("ts_s").alias("ts"), F.col("v_s").try_cast("double").alias("value"),
                            F.col("k_s").try_cast("long").alias("k"), F.col("t_s").try_cast("double").alias("type_as_number")))
+
+
+@register("l08_persistence_auc")
+def l08(spark, sf):
+    d = dom(spark, sf)
+    p = cut_lineage(lb.attach_forward(pn.delivery_history(_panel(d), WS)))
+    return report(lb.persistence_auc(p))
