@@ -806,3 +806,13 @@ reg("l08_persistence_auc", *PANEL_ALL, HISTP, FWDP,
               round((sum(ar) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2.0)
                     / (count(*) filter (where y = 1) * count(*) filter (where y = 0)), 6) as persistence_auc
        from ar2 a join cnt c using (min_n) join ok o using (min_n) group by a.min_n, c.n_rows, o.test_rows""")
+reg("w18_sequence_windows", *FT_ALL,
+    """sq as (select order_id, seller_id, as_of_date,
+              coalesce(cast(handover_share as double), 0) + 2 * coalesce(cast(freight_ratio as double), 0)
+              + 3 * coalesce(cast(same_state as double), 0) + 4 * coalesce(cast(purchase_is_weekend as double), 0)
+              + 5 * coalesce(cast(log_weight as double), 0) as v,
+              row_number() over (partition by seller_id order by as_of_date, order_id) as rn from ft)""",
+    """sq2 as (select *, sum(v) over w as s1, sum(rn * v) over w as s2, count(*) over w as c
+               from sq window w as (partition by seller_id order by rn rows between 30 preceding and 1 preceding))""",
+    """select order_id, seller_id, c as n_real,
+              round(coalesce(31 * s1 - (rn * s1 - s2), 0) / 1e4, 6) as checksum from sq2""")

@@ -207,3 +207,17 @@ def l08(spark, sf):
     d = dom(spark, sf)
     p = cut_lineage(lb.attach_forward(pn.delivery_history(_panel(d), WS)))
     return report(lb.persistence_auc(p))
+
+
+# small-magnitude features keep the fingerprint well inside double precision
+SEQ_FEATURES = ["handover_share", "freight_ratio", "same_state", "purchase_is_weekend", "log_weight"]
+
+
+@register("w18_sequence_windows")
+def w18(spark, sf):
+    from slipway.operators.order_features import order_feature_table
+    from slipway.operators.sequences import sequence_checksum, sequence_windows
+    f = order_feature_table(dom(spark, sf))
+    s = sequence_windows(f, SEQ_FEATURES, block=256)
+    return report(s.select("order_id", "seller_id", F.col("n_real").cast("long").alias("n_real"),
+                           (sequence_checksum() / F.lit(1e4)).alias("checksum")))

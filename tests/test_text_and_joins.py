@@ -40,3 +40,22 @@ def test_dedupe_first_hot_key(spark):
     df = spark.createDataFrame(rows, "k long, o long, s string")
     out = {r["k"]: r["s"] for r in dedupe_first(df, ["k"], ["o"]).collect()}
     assert out == {1: "x0", 2: "b"}
+
+
+def test_sequence_windows_blocks_and_halo(spark):
+    import datetime as dt
+    from slipway.operators.sequences import sequence_windows
+    rows = []
+    for i in range(300):  # one hot seller, plus a small one
+        rows.append((i, 1, dt.datetime(2020, 1, 1) + dt.timedelta(hours=i // 2), float(i), None if i % 7 == 0 else 1.0))
+    for i in range(5):
+        rows.append((1000 + i, 2, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(-i), 2.0))
+    df = spark.createDataFrame(rows, "order_id long, seller_id long, as_of_date timestamp, a double, b double")
+    got = {r["order_id"]: r for r in sequence_windows(df, ["a", "b"], seq_len=4, block=8).collect()}
+    pdf = pd.DataFrame(rows, columns=["order_id", "seller_id", "as_of_date", "a", "b"]).fillna(0.0)
+    for sid, sub in pdf.groupby("seller_id"):
+        sub = sub.sort_values(["as_of_date", "order_id"]).reset_index(drop=True)
+        for i, r in sub.iterrows():
+            prev = [[x.a, x.b] for x in sub.iloc[max(0, i - 4):i].itertuples()]
+            exp = [[0.0, 0.0]] * (4 - len(prev)) + prev
+            assert [list(v) for v in got[r.order_id]["sequence"]] == exp
