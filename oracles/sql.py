@@ -816,3 +816,50 @@ reg("w18_sequence_windows", *FT_ALL,
                from sq window w as (partition by seller_id order by rn rows between 30 preceding and 1 preceding))""",
     """select order_id, seller_id, c as n_real,
               round(coalesce(31 * s1 - (rn * s1 - s2), 0) / 1e4, 6) as checksum from sq2""")
+T02_DOCS = """pdoc as (select 'prediction_' || r.seller_id as id,
+              'Seller ' || r.seller_id || ' in zip ' || s.seller_zip || ', state ' || s.seller_state
+              || ', has a current delivery-risk score of ' || printf('%.2f', r.risk_score) || ' (' || r.risk_band
+              || ' risk). Model used: promise-formula. Key contributing factors: ' || coalesce(dr.ft, '') || '.' as text,
+              cast(r.seller_id as varchar) as seller_id, 'prediction' as source
+       from roll r left join v_sellers s on s.seller_id = r.seller_id left join dr on dr.seller_id = r.seller_id)"""
+T03_DOCS = """rdoc as (select 'review_' || i || '_' || seller_id as id,
+              'Customer review for seller ' || seller_id || ' (state ' || seller_state || ') on ' || strftime(created, '%Y-%m-%d')
+              || ': ' || review_score || '/5 stars (' || case when review_score <= 2 then 'negative' when review_score >= 4 then 'positive' else 'neutral' end
+              || '). Comment: ' || substring(comment, 1, 300) as text,
+              cast(seller_id as varchar) as seller_id, 'customer_review' as source from rk)"""
+reg("t04_index_build", *ROLL_ALL, ATTR,
+    """dr as (select seller_id, string_agg(feature || ' (' || case when contribution > 0 then 'raises' else 'lowers' end
+                  || ' risk, impact ' || printf('%.2f', abs(round(contribution, 6))) || ')', '; ' order by k) as ft
+             from tops where k <= 5 group by 1)""", T02_DOCS,
+    """rj as (select oi.seller_id, s.seller_state, r.review_score, r.comment, r.created, r.order_id
+             from v_reviews r join v_order_items oi on oi.order_id = r.order_id join v_sellers s on s.seller_id = oi.seller_id
+             where r.comment is not null and r.comment <> ''
+             order by r.created desc, r.order_id, oi.seller_id limit 2000)""",
+    "rk as (select *, row_number() over (order by created desc, order_id, seller_id) - 1 as i from rj)", T03_DOCS,
+    "alld as (select * from pdoc union all select * from rdoc)",
+    _chunks("alld", "id", 512, 50).replace("select id, text, length(text) as n from alld",
+                                          "select id, text, length(text) as n, seller_id, source from alld")
+    .replace("select id, case when n <= 512 then [0] else range(0, n, 462) end as starts, text from ch",
+             "select id, case when n <= 512 then [0] else range(0, n, 462) end as starts, text, seller_id, source from ch")
+    .replace("select id, unnest(starts) as st, generate_subscripts(starts, 1) - 1 as chunk_idx, text from chs",
+             "select id, unnest(starts) as st, generate_subscripts(starts, 1) - 1 as chunk_idx, text, seller_id, source from chs"),
+    """select id || '_chunk' || chunk_idx as chunk_id,
+              case when length(text) <= 512 then text else substring(text, st + 1, 512) end as text, seller_id, source from chx""")
+reg("t06_text_retrieval", _chunks("documents", "doc_id", 512, 50),
+    """ck as (select doc_id || '_chunk' || chunk_idx as chunk_id,
+              case when length(text) <= 512 then text else substring(text, st + 1, 512) end as text from chx)""",
+    r"""ctk as (select chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from ck),
+ctc as (select chunk_id, term, count(*) as tf from ctk group by 1, 2),
+cnd as (select count(*) as n from ck),
+cst as (select term, count(*) as df, sum(tf) as ttf from ctc group by 1),
+cvoc as (select term, ln((1.0 + n) / (1.0 + df)) + 1.0 as idf from cst, cnd
+         where df >= 2 and df <= 0.6 * n order by ttf desc, term limit 4096),
+cw0 as (select chunk_id, term, tf * idf as w from ctc join cvoc using (term)),
+cw as (select chunk_id, term, w / sqrt(sum(w * w) over (partition by chunk_id)) as wd from cw0),
+qtk as (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from benchmark),
+qtc as (select query_id, term, count(*) as tf from qtk group by 1, 2),
+qw0 as (select query_id, term, tf * idf as w from qtc join cvoc using (term)),
+qw as (select query_id, term, w / sqrt(sum(w * w) over (partition by query_id)) as wq from qw0)""",
+    """dots as (select query_id, chunk_id, round(2.0 - 2.0 * sum(wq * wd), 9) as distance from qw join cw using (term) group by 1, 2),
+rk2 as (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank from dots)""",
+    sel(["query_id", "chunk_id", r("distance"), "rank"], "from rk2 where rank <= 4"))

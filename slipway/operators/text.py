@@ -182,3 +182,44 @@ def check_manifest(recorded: DataFrame, backend: str, dim: int) -> None:
     if r is not None and (r["backend"] != backend or r["dim"] != dim):
         raise RuntimeError(f"index built with {r['backend']}/{r['dim']}, query uses {backend}/{dim}: rebuild the index")
 
+
+
+# ------------------------------------------------------------------ index build + sparse retrieval
+def build_index(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """T04 + U02: documents (id, text, seller_id, source) -> chunk table
+    (chunk_id, text, metadata map); ids ``{doc}_chunk{i}``."""
+    c = docs.select("id", "seller_id", "source", F.posexplode(chunk_text("text", size, overlap)).alias("i", "text"))
+    return c.select(F.format_string("%s_chunk%d", F.col("id"), F.col("i")).alias("chunk_id"), "text",
+                    F.create_map(F.lit("seller_id"), F.col("seller_id"), F.lit("source"), F.col("source")).alias("metadata"))
+
+
+def query_vectors(queries: DataFrame, vocab: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """Query texts in the index's TF-IDF space (vocabulary and idf reused)."""
+    return tfidf_long(queries, id_col, text_col, vocab=vocab)
+
+
+def top_k_sparse(index_long: DataFrame, query_long: DataFrame, doc_col: str, k: int = TOP_K,
+                 n_salt: int | None = None) -> DataFrame:
+    """T06 over an inverted index: squared L2 between unit TF-IDF vectors is
+    2 - 2 * dot; dots come from joining query terms with the postings on the
+    term (queries broadcast behind a checked bound, so hot terms never move
+    the postings), partially aggregated per (query, chunk). Candidates are
+    the chunks sharing at least one term; top-k by (distance, chunk id)
+    through the salted two-stage cut."""
+    nq = query_long.select("query_id").distinct().count()
+    if nq > BROADCAST_MAX_QUERIES:
+        raise ValueError(f"{nq} queries exceed the checked broadcast bound {BROADCAST_MAX_QUERIES}")
+    q = F.broadcast(query_long.select("query_id", "term", F.col("weight").alias("wq")))
+    j = index_long.select(doc_col, "term", F.col("weight").alias("wd")).join(q, "term")
+    dots = j.groupBy("query_id", doc_col).agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
+    # exact copies give equal distances up to summation order: compare at
+    # 1e-9 so such ties are broken by the chunk id in every engine
+    dots = dots.withColumn("distance", F.round(F.lit(2.0) - 2.0 * F.col("dot"), 9))
+    if n_salt is None:
+        n_salt = 16
+    dots = dots.withColumn("_salt", F.abs(F.xxhash64(doc_col)) % n_salt)
+    w1 = Window.partitionBy("query_id", "_salt").orderBy("distance", doc_col)
+    s1 = dots.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
+    w2 = Window.partitionBy("query_id").orderBy("distance", doc_col)
+    return s1.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).select(
+        "query_id", doc_col, "distance", "rank")

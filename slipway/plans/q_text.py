@@ -10,6 +10,7 @@ from slipway.operators import text as tx
 from slipway.operators.order_features import order_feature_table, trailing_window
 from slipway.plans.q_core import FORMULA_SCORE
 from slipway.plans.queries import dom, register, report
+from slipway.session import cut_lineage
 
 # Fixed linear "model" for the SQL-checkable attribution path (the fitted
 # path takes its coefficients from a trained logistic regression instead).
@@ -141,3 +142,31 @@ def t08(spark, sf):
     hits = tx.top_k_nearest(emb, q, "vec_id", "embedding", 4)
     texts = d.t("documents").select(F.col("doc_id").alias("vec_id"), "text")
     return report(tx.assemble_answers(hits, texts, "vec_id", q.select("query_id")))
+
+
+def _index_docs(d):
+    preds, drivers = _preds_and_drivers(d)
+    pdocs = tx.prediction_documents(preds, d.sellers, drivers.select("seller_id", "top_features"))
+    rdocs = tx.review_documents(d.reviews, d.order_items, d.sellers, 2000)
+    return pdocs.unionByName(rdocs)
+
+
+@register("t04_index_build")
+def t04(spark, sf):
+    idx = tx.build_index(_index_docs(dom(spark, sf)))
+    return report(idx.select("chunk_id", "text", F.col("metadata")["seller_id"].alias("seller_id"),
+                             F.col("metadata")["source"].alias("source")))
+
+
+@register("t06_text_retrieval")
+def t06t(spark, sf):
+    """Benchmark passages as questions against TF-IDF vectors of all
+    document chunks (512/50), top-4 by distance over an inverted index."""
+    d = dom(spark, sf)
+    ch = cut_lineage(tx.chunks(_docs(d), "doc_id").select("chunk_id", "text"))
+    tc = tx.term_counts(ch, "chunk_id")
+    vocab = cut_lineage(tx.fit_vocabulary(tc, "chunk_id", ch.count()))
+    index = tx.tfidf_long(ch, "chunk_id", vocab=vocab)
+    qs = d.t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    qv = tx.query_vectors(qs, vocab)
+    return report(tx.top_k_sparse(index, qv, "chunk_id", 4))
