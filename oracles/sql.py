@@ -863,3 +863,21 @@ qw as (select query_id, term, w / sqrt(sum(w * w) over (partition by query_id))
     """dots as (select query_id, chunk_id, round(2.0 - 2.0 * sum(wq * wd), 9) as distance from qw join cw using (term) group by 1, 2),
 rk2 as (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank from dots)""",
     sel(["query_id", "chunk_id", r("distance"), "rank"], "from rk2 where rank <= 4"))
+reg("x09_summary_kpis", *ROLL_ALL, SC, MODELS, RUNS,
+    """h as (select least(cast(floor(risk_score * 20) as integer), 19) as bin, count(*) as c
+          from roll where risk_score between 0 and 1 group by 1)""",
+    """select count(*) as total, round(avg(risk_score), 6) as avg_risk,
+              count(*) filter (where risk_band = 'low') as n_low, count(*) filter (where risk_band = 'medium') as n_medium,
+              count(*) filter (where risk_band = 'high') as n_high, count(*) filter (where risk_band = 'critical') as n_critical,
+              (select count(*) from h) as hist_nonempty_bins, (select sum(c) from h) as hist_total,
+              (select count(distinct s.seller_state) from roll r2 join v_sellers s using (seller_id)) as n_states,
+              (select model from runs where version = 1) as best_model,
+              (select pr_auc from runs where version = 1) as best_pr_auc
+       from roll""")
+reg("x10_metrics_listing", SC, MODELS, RUNS,
+    """select m.model, m.pr_auc, m.roc_auc, m.ks_statistic, case when r.version = 1 then 1 else 0 end as is_best
+       from mrank m join runs r using (model)""")
+reg("x02_winner_resolution", SC, MODELS, RUNS,
+    """select model as winner, case when model = 'lstm' then 'boosted_trees' else model end as scorer,
+              case when model in ('ensemble', 'lstm') then 'boosted_trees' else model end as explainer
+       from runs where version = 1""")

@@ -401,3 +401,40 @@ def x11(spark, sf):
     return report(j.select(F.when(F.col("p").isNotNull() | F.col("b").isNotNull(), "ok").otherwise("none registered")
                            .alias("status"), F.coalesce("p", "b").alias("model_name"),
                            F.when(F.col("p").isNotNull(), "Production").otherwise("evaluated").alias("model_stage")))
+
+
+@register("x09_summary_kpis")
+def x09(spark, sf):
+    """One-row dashboard summary: totals, band counts, mean risk, histogram
+    coverage, states, and the best evaluated model with its PR-AUC."""
+    d = dom(spark, sf)
+    r = _rollup(d)
+    bands = r.agg(F.count(F.lit(1)).alias("total"), F.avg("risk_score").alias("avg_risk"),
+                  *[F.count_if(F.col("risk_band") == b).alias(f"n_{b}") for b in ru.BANDS])
+    hist = ru.risk_histogram(r).agg(F.count_if(F.col("count") > 0).alias("hist_nonempty_bins"),
+                                    F.sum("count").alias("hist_total"))
+    states = ru.state_summary(r, d.sellers).agg(F.count(F.lit(1)).alias("n_states"))
+    best = _runs(spark, sf).filter(F.col("version") == 1).select(F.col("model").alias("best_model"),
+                                                                 F.col("pr_auc").alias("best_pr_auc"))
+    return report(bands.crossJoin(hist).crossJoin(states).crossJoin(best))
+
+
+@register("x10_metrics_listing")
+def x10(spark, sf):
+    runs = _runs(spark, sf)
+    return report(runs.select("model", "pr_auc", "roc_auc", "ks_statistic",
+                              (F.col("version") == 1).cast("int").alias("is_best")))
+
+
+# Models whose scores cannot be explained per row, and the proxy used instead.
+UNEXPLAINABLE = ("ensemble", "lstm")
+EXPLAINER_PROXY = "boosted_trees"
+
+
+@register("x02_winner_resolution")
+def x02(spark, sf):
+    best = _runs(spark, sf).filter(F.col("version") == 1).select(F.col("model").alias("winner"))
+    bad = F.col("winner").isin(*UNEXPLAINABLE)
+    return report(best.select("winner", F.when(F.col("winner") == "lstm", F.lit(EXPLAINER_PROXY))
+                              .otherwise(F.col("winner")).alias("scorer"),
+                              F.when(bad, F.lit(EXPLAINER_PROXY)).otherwise(F.col("winner")).alias("explainer")))
