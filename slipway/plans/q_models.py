@@ -93,3 +93,59 @@ def x01f(spark, sf):
     scored = iso.transform(md.score(m, recent)).select("seller_id", F.col("score").alias("raw"), "calibrated")
     out = ru.seller_rollup(scored, min_orders=5)
     return report(out.withColumn("model_name", F.lit("logistic_regression")))
+
+
+@register("m13_temporal_stacking")
+def m13(spark, sf):
+    """Stacked LR + forest (60 trees x depth 8 inside the stack) on the
+    train block, scored on the test block."""
+    x, _ = _blocks(dom(spark, sf))
+    tr, te = x.filter(F.col("block") == "train"), x.filter(F.col("block") == "test")
+    bases = {"logistic_regression": md.fit_logistic,
+             "random_forest": lambda d, t: md.fit_forest(d, t, 60, 8)}
+    st = md.fit_stacking(tr, TARGET, bases, 3)
+    return report(_eval(st.transform_scores(te)))
+
+
+@register("e15_platt_calibration")
+def e15(spark, sf):
+    x, _ = _blocks(dom(spark, sf))
+    m = md.fit_logistic(x.filter(F.col("block") == "train"), TARGET)
+    s = md.score(m, x.filter(F.col("block").isin("calib", "test")))
+    pl = md.fit_platt(s.filter(F.col("block") == "calib"), TARGET)
+    t = md.apply_platt(pl, s.filter(F.col("block") == "test")).withColumnRenamed(TARGET, "y").withColumnRenamed("_rid", "id")
+    raw = me.threshold_metrics(t, 0.5).select(F.col("brier").alias("brier_raw"))
+    cal = me.threshold_metrics(t, 0.5, score="calibrated").select(F.col("brier").alias("brier_cal"))
+    r1 = me.ranking_metrics(t).select(F.col("roc_auc").alias("auc_raw"))
+    r2 = me.ranking_metrics(t, score="calibrated").select(F.col("roc_auc").alias("auc_cal"))
+    return report(raw.crossJoin(cal).crossJoin(r1).crossJoin(r2))
+
+
+# Feature groups of the ablation (name prefixes).
+PROMISE_FEATURES = ("promised_days", "shipping_limit_days", "handover_share")
+
+
+@register("u04_e20_feature_group_ablation")
+def u04(spark, sf):
+    """E20 model variants: promise group only vs all-but-promise vs all
+    features (U04: column-set difference on the schema), same LR, same rows."""
+    d = dom(spark, sf)
+    f = cut_lineage(order_feature_table(d).withColumn("_rid", F.col("order_id") * 1000000 + F.col("seller_id")))
+    b = sp.purged_temporal_split(f, 0.2, 0.1, 30).filter(F.col("block").isin("train", "test"))
+    from slipway.operators.prep import feature_columns
+    num, cat = feature_columns(b, TARGET, extra_exclude=["_rid"])
+    allc = num + cat
+    groups = {"promise_only": [c for c in allc if c.startswith(PROMISE_FEATURES)],
+              "without_promise": [c for c in allc if not c.startswith(PROMISE_FEATURES)],
+              "all_features": allc}
+    out = []
+    for name, cols in groups.items():
+        sub = b.select("order_id", "seller_id", "as_of_date", "block", "_rid", TARGET, *cols)
+        tr = sub.filter(F.col("block") == "train")
+        prep = md.fit_prep(tr, TARGET)
+        xx = prep.transform(sub, keep=("block", "_rid"))
+        m = md.fit_logistic(xx.filter(F.col("block") == "train"), TARGET)
+        s = md.score(m, xx.filter(F.col("block") == "test"))
+        r = me.ranking_metrics(s.withColumnRenamed(TARGET, "y")).first()
+        out.append((name, len(cols), float(r["pr_auc"]), float(r["roc_auc"])))
+    return report(spark.createDataFrame(out, "variant string, n_columns int, pr_auc double, roc_auc double"))
