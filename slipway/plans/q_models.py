@@ -149,3 +149,39 @@ def u04(spark, sf):
         r = me.ranking_metrics(s.withColumnRenamed(TARGET, "y")).first()
         out.append((name, len(cols), float(r["pr_auc"]), float(r["roc_auc"])))
     return report(spark.createDataFrame(out, "variant string, n_columns int, pr_auc double, roc_auc double"))
+
+
+def _tree_attrib(d):
+    from slipway.operators import treeshap as tsh
+    from slipway.operators.order_features import trailing_window
+    x, prep = _blocks(d)
+    # the forest configuration used inside the stack (60 trees x depth 8)
+    m = md.fit_forest(x.filter(F.col("block") == "train"), TARGET, 60, 8)
+    recent = cut_lineage(trailing_window(x, 90))
+    att = tsh.explain(recent, m, "forest", prep.names)
+    return recent, m, att
+
+
+@register("x04_tree_attribution")
+def x04(spark, sf):
+    """Per-order TreeSHAP on the recent window -> per-seller mean (A08) ->
+    top-5 drivers by |contribution| (K03)."""
+    from slipway.operators import explain as ex
+    _, _, att = _tree_attrib(dom(spark, sf))
+    seller = ex.seller_mean_attribution(att.filter(F.col("feature") != "__expected__"))
+    top = ex.top_drivers(seller)
+    return report(top.select("seller_id", F.posexplode("top_features").alias("rank", "f"))
+                  .select("seller_id", (F.col("rank") + 1).alias("rank"), "f.feature", "f.contribution"))
+
+
+@register("x04_additivity_check")
+def x04a(spark, sf):
+    """Sum of contributions + base value vs the forest probability, per row."""
+    from slipway.operators import treeshap as tsh
+    recent, m, att = _tree_attrib(dom(spark, sf))
+    tot = att.groupBy("order_id", "seller_id").agg(F.sum("contribution").alias("s"))
+    out = tsh.margin(recent, m, "forest").select("order_id", "seller_id", "output")
+    j = tot.join(out, ["order_id", "seller_id"])
+    return report(j.agg(F.count(F.lit(1)).alias("n_rows"),
+                        F.count_if(F.abs(F.col("s") - F.col("output")) > 1e-9).alias("n_violations"),
+                        F.max(F.abs(F.col("s") - F.col("output"))).alias("max_abs_gap")))
