@@ -185,3 +185,12 @@ def x04a(spark, sf):
     return report(j.agg(F.count(F.lit(1)).alias("n_rows"),
                         F.count_if(F.abs(F.col("s") - F.col("output")) > 1e-9).alias("n_violations"),
                         F.max(F.abs(F.col("s") - F.col("output"))).alias("max_abs_gap")))
+
+
+@register("m12_random_search")
+def m12(spark, sf):
+    """Random search (forest space, 4-trial budget) scored by mean AP over 3
+    forward folds of the most recent train rows."""
+    from slipway.operators.tuning import random_search
+    x, _ = _blocks(dom(spark, sf))
+    return report(random_search(x.filter(F.col("block") == "train"), TARGET, "forest", n_trials=4, n_folds=3))
