@@ -881,3 +881,41 @@ reg("x02_winner_resolution", SC, MODELS, RUNS,
     """select model as winner, case when model = 'lstm' then 'boosted_trees' else model end as scorer,
               case when model in ('ensemble', 'lstm') then 'boosted_trees' else model end as explainer
        from runs where version = 1""")
+reg("l06_label_screen", *PANEL_ALL, FWDP, P0,
+    """el as (select seller_id, as_of_date, forward_rate, forward_orders, date_trunc('month', as_of_date) as month,
+              row_number() over (partition by date_trunc('month', as_of_date) order by forward_orders, seller_id, as_of_date) as rk,
+              count(*) over (partition by date_trunc('month', as_of_date)) as n
+              from fp2 where forward_orders >= 5)""".replace("el as", "el0 as"),
+    "eb0 as (select *, cast(greatest(ceil((rk - 1) * 10.0 / greatest(n - 1, 1)), 1) - 1 as integer) as vol_bin from el0)",
+    """ep0 as (select *, case when forward_rate is null then null else
+              (rank() over (partition by month, vol_bin order by forward_rate)
+               + (count(*) over (partition by month, vol_bin, forward_rate) - 1) / 2.0)
+              / count(forward_rate) over (partition by month, vol_bin) end as pct from eb0)""",
+    """cands as (
+  select 'any_late' as candidate, seller_id, as_of_date,
+         case when forward_orders is null or forward_orders < 1 then null when forward_late >= 1 then 1 else 0 end as y from fp2
+  union all select 'rate_15', seller_id, as_of_date,
+         case when forward_orders < 5 or forward_rate is null then null when forward_rate >= 0.15 then 1 else 0 end from fp2
+  union all select 'shrunk_15', seller_id, as_of_date,
+         case when forward_orders is null or forward_orders < 5 then null
+              when (forward_late + p0 * 20.0) / (forward_orders + p0 * 20.0 + (1 - p0) * 20.0) >= 0.15 then 1 else 0 end from fp2, p0
+  union all select 'zscore_1', seller_id, as_of_date,
+         case when forward_orders is null or forward_orders < 5 then null
+              when (forward_late - forward_orders * p0) / sqrt(forward_orders * p0 * (1 - p0)) >= 1.0 then 1 else 0 end from fp2, p0
+  union all select 'stratified_20', f.seller_id, f.as_of_date,
+         case when ep.forward_rate is null then null when ep.pct >= 0.8 then 1 else 0 end
+  from fp2 f left join ep on ep.seller_id = f.seller_id and ep.as_of_date = f.as_of_date)""".replace(
+        "from fp2 f left join ep", "from fp2 f left join ep0 ep"),
+    "tot as (select count(*) as total from panel)",
+    "lab as (select * from cands where y is not null)",
+    "cn as (select candidate, count(*) as n_labelled from lab group by 1 having count(*) >= 5000)",
+    "sp1 as (select lab.*, cn.n_labelled, row_number() over (partition by lab.candidate order by as_of_date) - 1 as i from lab join cn using (candidate))",
+    "t0 as (select candidate, max(as_of_date) filter (where i = round_even((n_labelled - 1) * 0.8, 0)) as t0 from sp1 group by 1)",
+    """bk as (select s.candidate, s.y, s.n_labelled, case when as_of_date >= t0 then 'test'
+               when as_of_date < t0 - interval 30 day then 'train' end as block from sp1 s join t0 using (candidate))""",
+    """select candidate, max(n_labelled) as n_labelled, round(max(n_labelled) * 100.0 / max(total), 6) as labelled_pct,
+              round(avg(case when block = 'train' then cast(y as double) end), 6) as train_base,
+              round(avg(case when block = 'test' then cast(y as double) end), 6) as test_base,
+              count(*) filter (where block = 'test') as test_rows
+       from bk, tot group by candidate
+       having count(*) filter (where block = 'test') >= 1000 and count(distinct case when block = 'test' then y end) = 2""")

@@ -221,3 +221,14 @@ def w18(spark, sf):
     s = sequence_windows(f, SEQ_FEATURES, block=256)
     return report(s.select("order_id", "seller_id", F.col("n_real").cast("long").alias("n_real"),
                            (sequence_checksum() / F.lit(1e4)).alias("checksum")))
+
+
+@register("l06_label_screen")
+def l06(spark, sf):
+    d = dom(spark, sf)
+    f = cut_lineage(_fwd(d))
+    p0 = lb.base_rate(f)
+    cands = {"any_late": lb.any_late(f), "rate_15": lb.rate_label(f, 0.15, 5),
+             "shrunk_15": lb.shrunk_label(f, 0.15, 20.0, 5, p0), "zscore_1": lb.zscore_label(f, 1.0, 5, p0),
+             "stratified_20": lb.stratified_label(f, 0.2, 5)}
+    return report(lb.label_screen(f, cands))
