@@ -919,3 +919,16 @@ reg("l06_label_screen", *PANEL_ALL, FWDP, P0,
               count(*) filter (where block = 'test') as test_rows
        from bk, tot group by candidate
        having count(*) filter (where block = 'test') >= 1000 and count(distinct case when block = 'test' then y end) = 2""")
+reg("d02_population_stability", *FT_ALL, REFCUR,
+    """lv2 as (unpivot (select "window", """ + ", ".join(f"cast({c} as double) as {c}" for c in NUMC) + """ from rc)
+          on """ + ", ".join(NUMC) + """ into name feature value value)""",
+    "lvn as (select * from lv2 where value is not null)",
+    "edg as (select feature, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as edges from lvn where \"window\" = 'reference' group by 1)",
+    "bnd as (select l.feature, l.\"window\", len(list_filter(e.edges, lambda x: x < l.value)) as bin from lvn l join edg e using (feature))",
+    """cnt2 as (select feature, bin, count(*) filter (where "window" = 'reference') as nr,
+               count(*) filter (where "window" = 'current') as nc from bnd group by 1, 2)""",
+    "grd as (select feature, unnest(range(0, 10)) as bin from edg)",
+    """pp as (select g.feature, g.bin, coalesce(c.nr, 0) as nr, coalesce(c.nc, 0) as nc from grd g left join cnt2 c using (feature, bin))""",
+    """pp2 as (select feature, greatest(nr * 1.0 / sum(nr) over (partition by feature), 1e-4) as pr,
+               greatest(nc * 1.0 / sum(nc) over (partition by feature), 1e-4) as pc from pp)""",
+    "select feature, round(sum((pc - pr) * ln(pc / pr)), 6) as psi from pp2 group by 1")

@@ -59,3 +59,29 @@ def summarize_drift(dist: DataFrame, stat: str = "wasserstein", threshold: float
     t = dist.agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.col(stat) > threshold).alias("n_drifted"))
     return (dist.select("feature", F.col(stat).alias("value"), (F.col(stat) > threshold).cast("int").alias("drifted"))
                 .crossJoin(F.broadcast(t.withColumn("share_drifted", F.col("n_drifted") / F.col("n_features")))))
+
+
+PSI_EPS = 1e-4
+
+
+def population_stability(df: DataFrame, cols: list[str], side_col: str = "window", n_bins: int = 10) -> DataFrame:
+    """D02 option: PSI over the reference window's equal-frequency bins
+    (exact linear deciles per feature; a value falls in bin = number of
+    edges strictly below it); proportions floored at 1e-4;
+    PSI = sum (cur - ref) * ln(cur / ref)."""
+    from slipway.plans.ranking import quantiles_linear
+    lv = long_values(df, cols, side_col)
+    qs = [i / n_bins for i in range(1, n_bins)]
+    edges = quantiles_linear(lv.filter(F.col(side_col) == "reference"), "value", qs, part=["feature"])
+    e = edges.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))),
+                                                 lambda s: s["value"]).alias("_edges"))  # <= n_bins - 1 per feature
+    j = lv.join(e, "feature")
+    j = j.withColumn("bin", F.size(F.filter("_edges", lambda x: x < F.col("value"))))
+    cnt = j.groupBy("feature", "bin").agg(F.count_if(F.col(side_col) == "reference").alias("nr"),
+                                          F.count_if(F.col(side_col) == "current").alias("nc"))
+    grid = e.select("feature", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    c = grid.join(cnt, ["feature", "bin"], "left").fillna(0, ["nr", "nc"])
+    w = Window.partitionBy("feature")
+    c = c.withColumn("pr", F.greatest(F.col("nr") / F.sum("nr").over(w), F.lit(PSI_EPS))) \
+         .withColumn("pc", F.greatest(F.col("nc") / F.sum("nc").over(w), F.lit(PSI_EPS)))
+    return c.groupBy("feature").agg(F.sum((F.col("pc") - F.col("pr")) * F.log(F.col("pc") / F.col("pr"))).alias("psi"))

@@ -232,3 +232,9 @@ def e16(spark, sf):
     ec = me.expected_calibration_error(s, score="cal").select(F.col("ece").alias("ece_cal"))
     mn = s.agg(F.avg("score").alias("mean_raw"), F.avg("cal").alias("mean_cal"))
     return report(raw.crossJoin(cal).crossJoin(er).crossJoin(ec).crossJoin(mn))
+
+
+@register("d02_population_stability")
+def d02p(spark, sf):
+    f = sp.reference_current_split(_ft(dom(spark, sf)))
+    return report(dr.population_stability(f, NUM_COLS))
