@@ -151,3 +151,28 @@ class StackedModel:
         x = x.withColumnRenamed("features", "_features").withColumnRenamed("_meta", "features")
         x = score(self.meta, x, out)
         return x.drop("features", *self.names).withColumnRenamed("_features", "features")
+
+
+# ------------------------------------------------------------------ artifacts (S20) and checks
+_KINDS = {"logistic_regression": "LogisticRegressionModel", "random_forest": "RandomForestClassificationModel",
+          "boosting": "GBTClassificationModel"}
+
+
+def save_model(model, path: str) -> str:
+    """Persist a fitted model (Spark's own format, task-parallel)."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(kind: str, path: str):
+    from pyspark.ml import classification as C
+    return getattr(C, _KINDS[kind]).load(path)
+
+
+def check_feature_space(prep: "Prepared", model, stored_names: list[str] | None = None) -> bool:
+    """The model's input width must equal the prepared feature names;
+    a stored name list that differs from the current one marks a stale
+    model (returns False, the caller skips it)."""
+    if model.numFeatures != len(prep.names):
+        raise ValueError(f"model expects {model.numFeatures} features, preparation yields {len(prep.names)}")
+    return stored_names is None or list(stored_names) == list(prep.names)

@@ -13,7 +13,9 @@ from slipway.operators.metrics import quantile_bands
 from slipway.plans.queries import dom, register, report
 from slipway.plans.ranking import row_numbers
 
-FORMULA_SCORE = F.lit(1e0) / (F.lit(1e0) + F.col("promised_days"))
+def formula_score():
+    """Fixed formula scorer 1 / (1 + promised_days) (built lazily: needs a session)."""
+    return F.lit(1e0) / (F.lit(1e0) + F.col("promised_days"))
 
 
 def _osa(d):
@@ -25,7 +27,7 @@ def _features(d):
 
 
 def _rollup(d):
-    return ru.score_and_rollup(_features(d), FORMULA_SCORE)
+    return ru.score_and_rollup(_features(d), formula_score())
 
 
 # ------------------------------------------------------------------ sources

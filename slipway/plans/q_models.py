@@ -194,3 +194,15 @@ def m12(spark, sf):
     from slipway.operators.tuning import random_search
     x, _ = _blocks(dom(spark, sf))
     return report(random_search(x.filter(F.col("block") == "train"), TARGET, "forest", n_trials=4, n_folds=3))
+
+
+@register("m14_stage_runner")
+def m14(spark, sf):
+    """M15 bundle -> M14 stages (LR and a small forest), each saved and
+    reloaded (S20) and checked against the feature space (X08)."""
+    from slipway.plans import training as tg
+    f = cut_lineage(order_feature_table(dom(spark, sf)).withColumn("_rid", F.col("order_id") * 1000000 + F.col("seller_id")))
+    x, prep = tg.prepare_data(f, TARGET)
+    small = {"random_forest:small": lambda tr, t: md.fit_forest(tr, t, 30, 6)}
+    out = tg.train_stages(x, prep, TARGET, ["logistic_regression", "random_forest:small"], fitters=small)
+    return report(out.select("stage", "pr_auc", "roc_auc"))

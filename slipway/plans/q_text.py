@@ -8,7 +8,7 @@ from slipway.operators import explain as ex
 from slipway.operators import rollup as ru
 from slipway.operators import text as tx
 from slipway.operators.order_features import order_feature_table, trailing_window
-from slipway.plans.q_core import FORMULA_SCORE
+from slipway.plans.q_core import formula_score
 from slipway.plans.queries import dom, register, report
 from slipway.session import cut_lineage
 
@@ -103,7 +103,7 @@ def x06(spark, sf):
 
 
 def _preds_and_drivers(d):
-    preds = ru.score_and_rollup(order_feature_table(d), FORMULA_SCORE).withColumn("model_name", F.lit("promise-formula"))
+    preds = ru.score_and_rollup(order_feature_table(d), formula_score()).withColumn("model_name", F.lit("promise-formula"))
     _, a = _attr(d)
     drivers = ex.top_drivers(ex.seller_mean_attribution(a))
     drivers = drivers.join(preds.select("seller_id"), "seller_id", "left_semi")
