@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipway.plans.ranking import prefix_sums
+from slipway.session import cut_lineage
 
 DRIFT_THRESHOLD = 0.1
 
@@ -31,8 +32,10 @@ def long_values(df: DataFrame, cols: list[str], side_col: str = "window") -> Dat
 def drift_distances(df: DataFrame, cols: list[str], side_col: str = "window") -> DataFrame:
     """(feature, wasserstein, ks, n_reference, n_current)."""
     lv = long_values(df, cols, side_col)
-    g = lv.groupBy("feature", "value").agg(F.count_if(F.col(side_col) == "reference").alias("nr"),
-                                           F.count_if(F.col(side_col) == "current").alias("nc"))
+    # one (feature, value) count table feeds the CDFs, totals and the
+    # reference std: write it once
+    g = cut_lineage(lv.groupBy("feature", "value").agg(F.count_if(F.col(side_col) == "reference").alias("nr"),
+                                                       F.count_if(F.col(side_col) == "current").alias("nc")))
     tot = g.groupBy("feature").agg(F.sum("nr").alias("tot_r"), F.sum("nc").alias("tot_c"))
     c = prefix_sums(g, [("value", False)], ["nr", "nc"], part=["feature"])
     wb = Window.partitionBy("feature", "_bucket").orderBy("value")
@@ -44,8 +47,12 @@ def drift_distances(df: DataFrame, cols: list[str], side_col: str = "window") ->
     fr = F.col("cum_nr") / F.col("tot_r")
     fc = F.col("cum_nc") / F.col("tot_c")
     gap = F.coalesce(F.col("_next_in"), F.col("_next_b")) - F.col("value")
-    ref_stats = (lv.filter(F.col(side_col) == "reference").groupBy("feature")
-                   .agg(F.stddev_pop("value").alias("ref_std")))
+    # population std of the reference window from the counts (two passes:
+    # mean first, then the centred second moment)
+    mean = g.groupBy("feature").agg((F.sum(F.col("nr") * F.col("value")) / F.sum("nr")).alias("_m"))
+    ref_stats = (g.join(F.broadcast(mean), "feature")
+                  .groupBy("feature").agg(F.sqrt(F.sum(F.col("nr") * (F.col("value") - F.col("_m")) ** 2)
+                                                 / F.sum("nr")).alias("ref_std")))
     a = c.groupBy("feature").agg(F.sum(F.coalesce(F.abs(fr - fc) * gap, F.lit(0.0))).alias("w1"),
                                  F.max(F.abs(fr - fc)).alias("ks"),
                                  F.first("tot_r").alias("n_reference"), F.first("tot_c").alias("n_current"))

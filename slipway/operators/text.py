@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slipway.session import cut_lineage
+
 # Chunking and retrieval defaults, TF-IDF settings, token rule.
 CHUNK_SIZE, CHUNK_OVERLAP, TOP_K = 512, 50, 4
 MAX_FEATURES, MAX_DF, MIN_DF = 4096, 0.6, 2
@@ -105,8 +107,16 @@ def tfidf_long(docs: DataFrame, id_col: str, text_col: str = "text", vocab: Data
     vocabulary is fitted on ``docs`` unless given (reuse on queries)."""
     tc = term_counts(docs, id_col, text_col)
     if vocab is None:
-        n_docs = docs.select(id_col).distinct().count()
+        # the (doc, term) counts feed both the vocabulary and the weights:
+        # tokenize the corpus once
+        tc = cut_lineage(tc)
+        n_docs = tc.select(id_col).distinct().count()
         vocab = fit_vocabulary(tc, id_col, n_docs)
+    return tfidf_from_counts(tc, id_col, vocab)
+
+
+def tfidf_from_counts(tc: DataFrame, id_col: str, vocab: DataFrame) -> DataFrame:
+    """Weights from precomputed (doc, term, tf) counts and a vocabulary."""
     v = tc.join(F.broadcast(vocab.select("term", "idf")), "term")  # <= max_features rows
     v = v.withColumn("w", F.col("tf") * F.col("idf"))
     norm = v.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))

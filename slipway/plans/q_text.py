@@ -164,9 +164,9 @@ def t06t(spark, sf):
     document chunks (512/50), top-4 by distance over an inverted index."""
     d = dom(spark, sf)
     ch = cut_lineage(tx.chunks(_docs(d), "doc_id").select("chunk_id", "text"))
-    tc = tx.term_counts(ch, "chunk_id")
+    tc = cut_lineage(tx.term_counts(ch, "chunk_id"))
     vocab = cut_lineage(tx.fit_vocabulary(tc, "chunk_id", ch.count()))
-    index = tx.tfidf_long(ch, "chunk_id", vocab=vocab)
+    index = tx.tfidf_from_counts(tc, "chunk_id", vocab)
     qs = d.t("benchmark").select(F.col("item_id").alias("query_id"), "text")
     qv = tx.query_vectors(qs, vocab)
     return report(tx.top_k_sparse(index, qv, "chunk_id", 4))
