@@ -56,7 +56,8 @@ def w04(spark, sf):
 @register("w05_review_windows")
 def w05(spark, sf):
     d = dom(spark, sf)
-    p = pn.review_features(_panel(d), pn.seller_day_reviews(d.reviews, d.order_items), WS)
+    day_orders = cut_lineage(pn.seller_day_orders(d.orders, d.order_items))
+    p = pn.review_features(pn.seller_day_panel(day_orders, 10, pn.seller_day_reviews(d.reviews, d.order_items)), None, WS)
     return report(p.select("seller_id", "as_of_date", *[f"{k}_{w}d" for w in WS for k in ("review_score_avg", "bad_reviews")]))
 
 
