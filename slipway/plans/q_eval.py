@@ -8,9 +8,9 @@ from slipway.operators import drift as dr
 from slipway.operators import metrics as me
 from slipway.operators import prep as pp
 from slipway.operators import split as sp
-from slipway.operators.order_features import TARGET, order_feature_table
+from slipway.operators.order_features import TARGET
 from slipway.plans.queries import dom, register, report
-from slipway.session import cut_lineage
+from slipway.plans.stored import stored_features
 
 NUM_COLS = ["n_items", "total_price", "promised_days", "handover_share", "freight_ratio", "density", "zip_gap",
             "seller_prior_late_rate"]
@@ -24,7 +24,7 @@ def _scores(d):
 def _ft(d):
     """The stored feature table (S14): written once to the checkpoint folder,
     so split points, fits and the main plan all read the same files."""
-    return cut_lineage(order_feature_table(d).withColumn("_rid", F.col("order_id") * 1000000 + F.col("seller_id")))
+    return stored_features(d)
 
 
 def _models(d):

@@ -9,13 +9,14 @@ from slipway.operators import metrics as me
 from slipway.operators import models as md
 from slipway.operators import rollup as ru
 from slipway.operators import split as sp
-from slipway.operators.order_features import TARGET, order_feature_table
+from slipway.operators.order_features import TARGET
 from slipway.plans.queries import dom, register, report
+from slipway.plans.stored import stored_features
 from slipway.session import cut_lineage
 
 
 def _blocks(d):
-    f = cut_lineage(order_feature_table(d).withColumn("_rid", F.col("order_id") * 1000000 + F.col("seller_id")))
+    f = stored_features(d)
     b = sp.purged_temporal_split(f, 0.2, 0.1, 30)
     prep = md.fit_prep(b.filter(F.col("block") == "train"), TARGET)
     x = cut_lineage(prep.transform(b.filter(F.col("block").isNotNull()), keep=("order_id", "seller_id", "as_of_date", "block", "_rid")))
@@ -130,7 +131,7 @@ def u04(spark, sf):
     """E20 model variants: promise group only vs all-but-promise vs all
     features (U04: column-set difference on the schema), same LR, same rows."""
     d = dom(spark, sf)
-    f = cut_lineage(order_feature_table(d).withColumn("_rid", F.col("order_id") * 1000000 + F.col("seller_id")))
+    f = stored_features(d)
     b = sp.purged_temporal_split(f, 0.2, 0.1, 30).filter(F.col("block").isin("train", "test"))
     from slipway.operators.prep import feature_columns
     num, cat = feature_columns(b, TARGET, extra_exclude=["_rid"])
@@ -201,7 +202,7 @@ def m14(spark, sf):
     """M15 bundle -> M14 stages (LR and a small forest), each saved and
     reloaded (S20) and checked against the feature space (X08)."""
     from slipway.plans import training as tg
-    f = cut_lineage(order_feature_table(dom(spark, sf)).withColumn("_rid", F.col("order_id") * 1000000 + F.col("seller_id")))
+    f = stored_features(dom(spark, sf))
     x, prep = tg.prepare_data(f, TARGET)
     small = {"random_forest:small": lambda tr, t: md.fit_forest(tr, t, 30, 6)}
     out = tg.train_stages(x, prep, TARGET, ["logistic_regression", "random_forest:small"], fitters=small)

@@ -8,13 +8,14 @@ from slipway.operators import labels as lb
 from slipway.operators import panel as pn
 from slipway.operators import signals as sg
 from slipway.plans.queries import dom, register, report
+from slipway.plans.stored import stored_day_orders
 from slipway.session import cut_lineage
 
 WS = [7, 14, 30]
 
 
 def _panel(d):
-    return pn.seller_day_panel(cut_lineage(pn.seller_day_orders(d.orders, d.order_items)), 10)
+    return pn.seller_day_panel(stored_day_orders(d), 10)
 
 
 def _hist(d):
@@ -56,7 +57,7 @@ def w04(spark, sf):
 @register("w05_review_windows")
 def w05(spark, sf):
     d = dom(spark, sf)
-    day_orders = cut_lineage(pn.seller_day_orders(d.orders, d.order_items))
+    day_orders = stored_day_orders(d)
     p = pn.review_features(pn.seller_day_panel(day_orders, 10, pn.seller_day_reviews(d.reviews, d.order_items)), None, WS)
     return report(p.select("seller_id", "as_of_date", *[f"{k}_{w}d" for w in WS for k in ("review_score_avg", "bad_reviews")]))
 

@@ -49,6 +49,17 @@ class Domain:
     def t(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A derived table written once (reliable checkpoint into the shared
+        ``spark.checkpoint.dir``) and re-read by every later query of this
+        session, as the reference writes its feature files once and every
+        later step reads them. ``build()`` returns the DataFrame to store."""
+        from slipway.session import cut_lineage
+        cache = self.__dict__.setdefault("_stored", {})
+        if name not in cache:
+            cache[name] = cut_lineage(build())
+        return cache[name]
+
     # ---------------------------------------------------------- dimensions
     @cached_property
     def sellers(self) -> DataFrame:
