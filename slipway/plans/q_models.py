@@ -207,3 +207,22 @@ def m14(spark, sf):
     small = {"random_forest:small": lambda tr, t: md.fit_forest(tr, t, 30, 6)}
     out = tg.train_stages(x, prep, TARGET, ["logistic_regression", "random_forest:small"], fitters=small)
     return report(out.select("stage", "pr_auc", "roc_auc"))
+
+
+@register("x05_kernel_attribution")
+def x05(spark, sf):
+    """Model-agnostic attribution (Kernel SHAP, 100 background train rows)
+    of the logistic model on the recent window -> per-seller mean (A08) ->
+    top-5 drivers by |contribution| (K03)."""
+    from slipway.operators import explain as ex
+    from slipway.operators import kernelshap as ks
+    from slipway.operators.order_features import trailing_window
+    x, prep = _blocks(dom(spark, sf))
+    train = x.filter(F.col("block") == "train")
+    m = md.fit_logistic(train, TARGET)
+    recent = trailing_window(x, 90)
+    att = ks.explain(recent, m, prep.names, ks.background_sample(train, "_rid"), max_coalitions=64)
+    seller = ex.seller_mean_attribution(att.filter(F.col("feature") != "__expected__"))
+    top = ex.top_drivers(seller)
+    return report(top.select("seller_id", F.posexplode("top_features").alias("rank", "f"))
+                  .select("seller_id", (F.col("rank") + 1).alias("rank"), "f.feature", "f.contribution"))
