@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from slipway.llm import linededup, toxicity
+from slipway.llm import decontaminate, linededup, ngramjoin, packing, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_ngram_join": ngramjoin.op3_ngram_join,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op9_two_fit": packing.op9_two_fit,
 }
 
 ORACLES = {
     "op5_line_dedup": linededup.OP5_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
 }
