@@ -60,6 +60,8 @@ class Encoder(dict):
             ids = self[chunk[:-1]] + self[chunk[-1]]
         elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
             ids = self[chunk.lower()]
+        elif chunk.isascii() and chunk.isalpha():  # one word as it is: no rule but the merges applies
+            ids = np.array([t.id for t in self.tok.model.tokenize(chunk)], "<u4").tobytes()
         else:
             ids = np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) < CACHE:

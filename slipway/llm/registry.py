@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from slipway.llm import decontaminate, linededup, ngramjoin, packing, toxicity
+from slipway.llm import (
+    annsearch, chat, ctw, decontaminate, linededup, ngramjoin, packing, quality, resharding, toxicity)
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_ngram_join": ngramjoin.op3_ngram_join,
+    "op4_mincost_reshard": resharding.op4_mincost_reshard,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_context_tree": ctw.op7_context_tree,
+    "op8_quality": quality.op8_quality,
     "op9_two_fit": packing.op9_two_fit,
+    "op10_vantage_point": annsearch.op10_vantage_point,
 }
 
 ORACLES = {
+    "op1_chat_format": chat.OP1_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
 }
