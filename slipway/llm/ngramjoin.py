@@ -52,6 +52,8 @@ WORDS = 5
 PERCENT = 75
 # Rounds in which a class meets one hub each, before all remaining pairs are compared.
 STARS = 2
+# Ids that are sent to the texts, at most; more are joined by a shuffle.
+ID_ROWS = 1 << 19
 # Cells of the table that orders shingles: a fixed size, sent to all tasks.
 ORDER_BITS = 20
 
@@ -102,6 +104,14 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text"))
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``ids``: the ids go to the texts while their
+    number, which is counted, stays below ``ID_ROWS``; above it both are shuffled."""
+    if ids.count() <= ID_ROWS:
+        ids = F.broadcast(ids)
+    return _base(docs).join(ids, "id", "left_semi")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Rows (id, size, d1, d2, cells): a row per document, and rows of null id whose
     ``cells`` count shingles that repeat within a stretch of the input."""
@@ -185,8 +195,7 @@ def _entries(docs: DataFrame, classes: DataFrame, order: np.ndarray) -> DataFram
                     [pa.array(np.concatenate(keep).view(np.int64)), pa.array(np.concatenate(own)),
                      pa.array(np.concatenate(size))], ["h", "id", "size"])
 
-    texts = _base(docs).join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    return texts.mapInArrow(run, ENTRY)
+    return _only(docs, classes.select(F.col("rep").alias("id"))).mapInArrow(run, ENTRY)
 
 
 def _columns(entries: DataFrame) -> DataFrame:
@@ -224,15 +233,14 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 [b.column(0), pa.array([raw[8 * a:8 * c] for a, c in zip(ptr[:-1], ptr[1:])], pa.binary())],
                 ["id", "shingles"])
 
-    return _base(docs).join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
-
+    return _only(docs, ids).mapInArrow(run, "id long, shingles binary")
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, size_a, size_b, overlap) of the pairs (a, b), counted exactly.
 
-    Pairs are dealt by ``a`` in blocks, so that one set with many partners is
-    read by several tasks and each block holds few sets at a time.
-    """
+def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, size_a, size_b, overlap) of the pairs (a, b), counted exactly."""
+    pairs = stored(pairs, "pairs")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = stored(_sets_of(docs, ids), "sets")
 
     def run(batches):
         for b in batches:
@@ -300,15 +308,21 @@ def _open(columns: DataFrame, comps: DataFrame) -> DataFrame:
     return e.join(mixed, "h", "left_semi")
 
 
+def _may_link(size_a, size_b, deg_a, deg_b):
+    """False where one of two sets shares too few columns with any other to link."""
+    return ((F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * PERCENT)
+            & (F.least(deg_a, deg_b) >= _least_shared(size_a, size_b)))
+
+
 def _star(entries: DataFrame, weight) -> DataFrame:
     """Pairs (a, b): each class b and the hub a with which it shares most columns.
 
     A column's hub is its entry of the largest ``weight``; one pair a class,
     whatever the width of the columns.
     """
-    hubs = entries.groupBy("h").agg(F.max_by(F.struct("id", "size", "comp"), F.struct(weight, "id")).alias("hub"))
+    hubs = entries.groupBy("h").agg(F.max_by(F.struct("id", "size", "comp", "deg"), F.struct(weight, "id")).alias("hub"))
     return (entries.join(hubs, "h").filter("comp <> hub.comp")
-            .filter(F.least("size", "hub.size") * 100 >= F.greatest("size", "hub.size") * PERCENT)
+            .filter(_may_link(F.col("size"), F.col("hub.size"), F.col("deg"), F.col("hub.deg")))
             .groupBy("id", "hub").agg(F.count("*").alias("n"))
             .groupBy("id").agg(F.max_by("hub.id", F.struct("n", "hub.id")).alias("a"))
             .select("a", F.col("id").alias("b")))
@@ -341,7 +355,8 @@ def _rest(entries: DataFrame, known: DataFrame) -> DataFrame:
             near = (h[j] == h[i]) & (PERCENT * size[j] <= 100 * size[i])  # rows are in order of size
             i, j = i[near], j[near]
             need = min_overlap(size[i], size[j])
-            on = ((comp[j] != comp[i]) & (deg[i] >= need - less[i]) & (deg[j] >= need - less[j])
+            on = ((comp[j] != comp[i])
+                  & (np.minimum(deg[i], deg[j]) >= need - np.maximum(less[i], less[j]))
                   & ~((hub[j] == hub[i]) & (np.abs(dist[j] - dist[i]) > reach)))
             if on.any():
                 x, y = i[on], j[on]
@@ -397,21 +412,20 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = (own.join(classes, ["size", "d1", "d2"], "left")
                .select("id", "size", F.coalesce("rep", "id").alias("rep")))
     columns = stored(_columns(_entries(docs, classes, _order(marked))), "columns")
-    ids = stored(columns.groupBy("id", "size").agg(F.count("*").alias("n")), "ids")
-    sets = stored(_sets_of(docs, ids.select("id")), "sets")
     # The text that copies were made from has few columns of its own: the larger
     # the share of a class's columns that others hold, the better a hub it is.
-    share = columns.join(ids.select("id", (F.col("n") / F.col("size")).alias("share")), "id")
+    deg = columns.groupBy("id").agg(F.count("*").alias("deg"))
+    share = columns.join(deg, "id")
     test = linked(F.col("size_a"), F.col("size_b"), F.col("overlap"))
     known = found = comps = None
     for r in range(STARS):
-        e = (share.withColumn("comp", F.col("id")) if comps is None else stored(_open(share, comps), "open"))
-        weight = F.col("share") if r == 0 else F.xxhash64("id", F.lit(r))
-        more = overlaps(_star(e, weight), sets)
+        e = share.withColumn("comp", F.col("id")) if comps is None else stored(_open(share, comps), "open")
+        weight = F.col("deg") / F.col("size") if r == 0 else F.xxhash64("id", F.lit(r))
+        more = overlaps(_star(e, weight), docs)
         known = stored(more if known is None else known.unionByName(more), "overlaps")
         found = known.filter(test).select("a", "b")
         comps = stored(components(found), "comps")
-    rest = overlaps(stored(_rest(_open(columns, comps), known), "rest"), sets).filter(test).select("a", "b")
+    rest = overlaps(_rest(_open(columns, comps), known), docs).filter(test).select("a", "b")
     return members, stored(found.unionByName(rest), "links")
 
 
