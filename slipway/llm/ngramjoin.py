@@ -163,11 +163,19 @@ def _order(marked: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
 
+    def pack(batches):  # a task's cells in one row: the driver gets few
+        at, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in batches:
+            at.append(b.column(0).to_numpy())
+            n.append(b.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (at, n)],
+                                         ["cell", "n"])
+
     rows = (marked.filter("cells is not null").select("cells", "n")
             .mapInArrow(unpack, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
-    got = rows.select("cell", "n").toPandas()
     out = np.zeros(1 << ORDER_BITS, np.int64)
-    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    for r in rows.mapInArrow(pack, "cell binary, n binary").toLocalIterator():
+        out[np.frombuffer(r["cell"], np.int64)] = np.frombuffer(r["n"], np.int64)
     return np.minimum(out, (1 << 31) - 1).astype(np.int32)
 
 
@@ -365,11 +373,39 @@ def _rest(entries: DataFrame, known: DataFrame) -> DataFrame:
                 yield np.stack([ids[x], ids[y], size[x], size[y]])
 
     def summed(parts):
+        """The task's share of the product as sparse rows: per a, its b's and their counts."""
         rows = np.concatenate(parts, axis=1)
         rows = rows[:, np.lexsort(rows[1::-1])]
         first = np.flatnonzero(np.append(True, (np.diff(rows[:2], axis=1) != 0).any(axis=0)))
         n = np.diff(np.append(first, rows.shape[1]))
-        return pd.DataFrame({**dict(zip(("a", "b", "size_a", "size_b"), rows[:, first])), "n": n})
+        a, b, size_a, size_b = rows[:, first]
+        at = np.flatnonzero(np.append(True, np.diff(a) != 0))
+        cut = lambda x: [x[u:v].tobytes() for u, v in zip(at, np.append(at[1:], len(a)))]
+        return pd.DataFrame({"a": a[at], "size_a": size_a[at], "b": cut(b), "size_b": cut(size_b), "n": cut(n)})
+
+    def merge(frames):
+        """Add up the rows of each a; keep the pairs that share enough columns."""
+        held = None
+        for frame in itertools.chain(frames, [None]):
+            if frame is not None:
+                frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+                if not len(frame):
+                    continue
+                last = frame["a"].iloc[-1]
+                done, held = frame[frame["a"] != last], frame[frame["a"] == last]
+            else:
+                done = held if held is not None else []
+            out = []
+            for a, g in done.groupby("a", sort=False) if len(done) else ():
+                b, size, n = (np.frombuffer(b"".join(g[c]), np.int64) for c in ("b", "size_b", "n"))
+                u, at, inv = np.unique(b, return_index=True, return_inverse=True)
+                n, size, own = np.bincount(inv, n), size[at], int(g["size_a"].iloc[0])
+                less = np.maximum(-(-PERCENT * size // 100), -(-PERCENT * own // 100)) - 1
+                u = u[n >= min_overlap(own, size) - less]
+                if len(u):
+                    out.append(pd.DataFrame({"a": a, "b": u}))
+            if out:
+                yield pd.concat(out)
 
     def run(frames):
         held, parts, waiting = [], [], 0  # held: rows of the column that is still open
@@ -396,10 +432,9 @@ def _rest(entries: DataFrame, known: DataFrame) -> DataFrame:
             yield summed(parts)
 
     found = (e.repartition("h").sortWithinPartitions("h", "size", "id")
-             .mapInPandas(run, "a long, b long, size_a int, size_b int, n long")
-             .groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n")))
-    return (found.filter(F.col("n") >= _least_shared(F.col("size_a"), F.col("size_b"))).select("a", "b")
-            .join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+             .mapInPandas(run, "a long, size_a long, b binary, size_b binary, n binary")
+             .repartition("a").sortWithinPartitions("a").mapInPandas(merge, "a long, b long"))
+    return found.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
