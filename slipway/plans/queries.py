@@ -38,11 +38,11 @@ def report(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-_DOMAINS: dict[tuple[int, str], Domain] = {}
+_DOMAINS: dict[tuple[str, str], Domain] = {}
 
 
 def dom(spark: SparkSession, sf_dir: str) -> Domain:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _DOMAINS:
         _DOMAINS[key] = Domain(spark, sf_dir)
     return _DOMAINS[key]
