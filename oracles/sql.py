@@ -210,8 +210,9 @@ reg("a04_events_pivot",
               avg(value) filter (where event_type = 'click') as click,
               avg(value) filter (where event_type = 'view') as "view",
               avg(value) filter (where event_type = 'purchase') as purchase,
-              avg(value) filter (where event_type = 'error') as error from events group by 1)""",
-    sel([ds("d"), r("click"), r('"view"', "view"), r("purchase"), r("error")], "from ep"))
+              avg(value) filter (where event_type = 'error') as error,
+              avg(value) filter (where event_type = 'signup') as signup from events group by 1)""",
+    sel([ds("d"), r("click"), r('"view"', "view"), r("purchase"), r("error"), r("signup")], "from ep"))
 reg("a05_seller_span", SDO,
     sel(["seller_id", ds("min(order_date)", "first_day"), ds("max(order_date)", "last_day"),
          "cast(sum(orders_n) as bigint) as lifetime_orders"], "from sdo group by seller_id"))

@@ -197,7 +197,7 @@ def a04(spark, sf):
 @register("a04_events_pivot")
 def a04e(spark, sf):
     e = dom(spark, sf).t("events")
-    types = ["click", "view", "purchase", "error"]
+    types = ["click", "view", "purchase", "error", "signup"]
     return report(e.groupBy(F.to_date("ts").alias("d")).pivot("event_type", types).agg(F.avg("value")))
 
 
