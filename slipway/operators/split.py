@@ -54,8 +54,7 @@ def purged_temporal_split(df: DataFrame, test_size: float = 0.2, calib_size: flo
     out = df.withColumn("block", block)
     c = out.agg(F.count_if(F.col("block") == "train").alias("tr"), F.count_if(F.col("block") == "test").alias("te")).first()
     if c["tr"] == 0 or c["te"] == 0:
-        raise ValueError("Embargo consumed an entire block: the date range is too short for this "
-                         "test_size/embargo combination.")
+        raise ValueError("no rows left to train or to test on: shorten the embargo or the test share")
     return out
 
 
