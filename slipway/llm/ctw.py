@@ -2,26 +2,29 @@
 
 A text is read as its lower-cased words, each ended by a blank, then an end
 mark. Every byte is eight binary decisions. A decision is predicted in the
-contexts of the 0, 1, ... ``DEPTH`` bytes before it, back to the blank that
-begins the word; every context node counts both outcomes and gives the
+contexts of the 0, 1, ... ``DEPTH`` bytes before it: for the first ``START``
+bytes of a word (or its end mark) these run through the blank into the last
+``TAIL`` bytes of the word before, for later bytes back to the blank that
+begins the word. Every context node counts both outcomes and gives the
 Krichevsky-Trofimov estimate, and the estimates of all depths are mixed by
 the weights of context-tree weighting: at a node with block probability Pe
 and children Pw, ``Pw = OWN * Pe + (1 - OWN) * prod Pw_child``, and its own
 estimate enters with weight ``OWN * Pe / Pw``. Counts come from all training texts; then
 the weights are fixed and every text is scored under them.
 
-As contexts end at the blank, a word has one code length wherever it stands.
-So the tree is built from the list of distinct words and their counts:
+So a token's code length is that of its head (the tail before it and its
+first bytes, packed into one number) plus that of the rest of its word, and
+the tree is built from the distinct heads and words and their counts:
 
-1. ``vocabulary``: each task adds up its words; one shuffle by word.
-2. ``cells``: (context, byte) of every word with its count, packed into 64
+1. ``vocabulary``: each task adds up its heads and words; one shuffle.
+2. ``cells``: (context, byte) of every head and word with its count, packed into 64
    bits with the nearest context byte first, so that in order of that number
    a context node is a stretch of rows. Cells are dealt by their two nearest
    bytes; a group holds the whole subtree below and is weighted on its own.
    Depths 0 and 1 (at most 256 * 255 nodes) are mixed in from the driver.
-3. A word's score is the sum over its cells, a text's that over its words.
-   The at most ``HEAD`` most frequent words are looked up in the tasks, all
-   others are joined. Both ways are exact.
+3. A head's or word's score is the sum over its cells, a text's that over its
+   tokens. The at most ``HEAD`` most frequent heads and words are looked up in
+   the tasks, all others are joined. Both ways are exact.
 
 Defined cases: null or empty text is the end mark alone; a null doc_id is a
 training row; repeated rows train and score like any rows; without training
@@ -44,6 +47,7 @@ from slipway.llm.common import (
 
 HEAD = 1 << 18
 DEPTH = 7
+TAIL, START = 3, 2
 OWN = 0.5  # prior weight of a node's own estimate against those of longer contexts
 BLANK, END_BYTE = 0x20, 0xFF  # the second is in no UTF-8 text
 END_WORD = -1
@@ -58,11 +62,36 @@ def words(col):
     return np.minimum(h, np.uint64((1 << 64) - 2)).view(np.int64), first, data, starts, ends
 
 
+def heads(data, first, starts, ends):
+    """The head of every token, end marks included, and row offsets.
+
+    A head packs the tail of the word before, nearest byte first, the first
+    bytes of the word and its blank, and how many of the latter there are.
+    """
+    m = len(starts)
+    low = LOWER[data].astype(np.int64) if m else np.zeros(1, np.int64)
+    tail = np.zeros(m + 1, np.int64)  # of each word; last: none
+    for t in range(1, TAIL + 1):
+        tail[:m] = tail[:m] << 8 | np.where(ends - t >= starts, low[ends - t], 0)
+    before = np.arange(m) - 1
+    before[first[:-1][first[:-1] < first[1:]]] = m
+    code = tail[before]
+    for j in range(START):
+        at = starts + j
+        code = code << 8 | np.where(at < ends, low[np.minimum(at, len(low) - 1)], np.where(at == ends, BLANK, 0))
+    code |= np.minimum(ends - starts + 1, START) << 8 * (TAIL + START)
+    last = tail[np.where(first[1:] > first[:-1], first[1:] - 1, m)]
+    end = (last << 8 | END_BYTE) << 8 * (START - 1) | 1 << 8 * (TAIL + START)
+    return np.insert(code, first[1:], end), first + np.arange(len(first))
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(key, word, n): every distinct word of all texts and its count in training rows."""
+    """(key, word, n): every distinct word of all texts and its count in training rows;
+    likewise the heads, whose word is null."""
 
     def run(batches):
         held, waiting, rows, trained = [], 0, 0, 0
+        codes, counts = np.zeros(0, np.int64), np.zeros(0)
 
         def merged(parts):
             k, w, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -71,7 +100,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             return k[order][first], w[order][first], np.add.reduceat(n[order], first) if len(k) else n
 
         def batch(k, w, n):
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(list(w), pa.binary()),
+            w = pa.nulls(len(k), pa.binary()) if w is None else pa.array(list(w), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), w,
                                                pa.array(n, pa.int64())], ["key", "word", "n"])
 
         for b in batches:
@@ -86,6 +116,12 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             waiting += len(u)
             rows += len(b)
             trained += int(train.sum())
+            c, at = heads(data, first, starts, ends)
+            codes, inv = np.unique(np.concatenate([codes, c]), return_inverse=True)
+            counts = np.bincount(inv, np.concatenate([counts, np.repeat(train, np.diff(at))]), len(codes))
+            if len(codes) > 1_000_000:
+                yield batch(codes, None, counts.astype(np.int64))
+                codes, counts = codes[:0], counts[:0]
             if waiting > 1_500_000:
                 held = [merged(held)]
                 if len(held[0][0]) > 750_000:
@@ -94,6 +130,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         if held:
             yield batch(*merged(held))
         if rows:
+            yield batch(codes, None, counts.astype(np.int64))
             yield batch([END_WORD], [bytes([END_BYTE])], [trained])
 
     train = F.coalesce(crc_mod(F.col("doc_id"), 10) != HELD, F.lit(True)).alias("train")
@@ -102,28 +139,48 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def word_cells(word: bytes) -> np.ndarray:
-    """The word's cells: DEPTH context bytes, nearest first, then the byte."""
+    """The cells of a word after its head: DEPTH context bytes, nearest first, then the byte."""
     text = bytes([BLANK]) + word + (b"" if word == bytes([END_BYTE]) else bytes([BLANK]))
     out, ctx = [], BLANK << 8 * (DEPTH - 1)
     for b in text[1:]:
         out.append(ctx << 8 | b)
         ctx = b << 8 * (DEPTH - 1) | ctx >> 8
-    return np.array(out, np.uint64)
+    return np.array(out[START:], np.uint64)
+
+
+def head_cells(code: np.ndarray):
+    """The cells of heads, and the place of the head of each."""
+    ctx = BLANK << 8 * (DEPTH - 1) | (code >> 8 * START & (1 << 8 * TAIL) - 1) << 8 * (DEPTH - 1 - TAIL)
+    out, own = [], []
+    for j in range(START):
+        b = code >> 8 * (START - 1 - j) & 255
+        at = np.flatnonzero(code >> 8 * (TAIL + START) > j)
+        out.append((ctx << 8 | b)[at].view(np.uint64))
+        own.append(at)
+        ctx = b << 8 * (DEPTH - 1) | ctx >> 8
+    return np.concatenate(out), np.concatenate(own)
 
 
 def _symbols(vocab: DataFrame) -> DataFrame:
-    """(cell, key, n) of every byte of every word."""
+    """(cell, key, n, head) of every byte of every head and word; one row with a
+    null cell for a word that is all head."""
 
     def run(batches):
         for b in batches:
-            each = [word_cells(w) for w in b.column(1).to_pylist()]
-            size = [len(c) for c in each]
+            is_head = b.column(1).is_null().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(~is_head)
+            each = [word_cells(w) for w in b.column(1).drop_null().to_pylist()]
+            size = np.array([len(c) for c in each], np.int64)
+            bare = at[size == 0]
+            cell, own = head_cells(b.column(0).to_numpy()[is_head])
+            own = np.concatenate([np.repeat(at, size), np.flatnonzero(is_head)[own], bare])
+            cell = np.concatenate([*each, cell]).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array((np.concatenate(each) if each else np.zeros(0, np.uint64)).view(np.int64)),
-                pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.repeat(b.column(2).to_numpy(), size))],
-                ["cell", "key", "n"])
+                pa.concat_arrays([pa.array(cell), pa.nulls(len(bare), pa.int64())]),
+                pa.array(b.column(0).to_numpy()[own]), pa.array(b.column(2).to_numpy()[own]),
+                pa.array(is_head[own])], ["cell", "key", "n", "head"])
 
-    return vocab.select("key", "word", "n").mapInArrow(run, "cell long, key long, n long")
+    return vocab.select("key", "word", "n").mapInArrow(run, "cell long, key long, n long, head boolean")
 
 
 # ---- the tree ----------------------------------------------------------------
@@ -243,18 +300,18 @@ def cell_scores(cells: DataFrame) -> DataFrame:
     return dealt.mapInArrow(score, "cell long, lp double")
 
 
-def word_scores(vocab: DataFrame) -> DataFrame:
-    """(key, n, lp) of every word."""
+def token_scores(vocab: DataFrame) -> DataFrame:
+    """(key, head, n, lp) of every head and word."""
     symbols = stored(_symbols(vocab), "symbols")
-    cells = symbols.groupBy("cell").agg(F.sum("n").alias("n"))
-    return (symbols.join(cell_scores(cells), "cell").groupBy("key")
-            .agg(F.first("n").alias("n"), F.sum("lp").alias("lp")))
+    cells = symbols.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"))
+    return (symbols.join(cell_scores(cells), "cell", "left").groupBy("key", "head")
+            .agg(F.first("n").alias("n"), F.coalesce(F.sum("lp"), F.lit(0.0)).alias("lp")))
 
 
 # ---- scores ------------------------------------------------------------------
 
 def _head(known: DataFrame) -> pd.DataFrame:
-    """The most frequent words, at most HEAD, in order of hash."""
+    """The most frequent of the given heads or words, at most HEAD, in order of key."""
     power = F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")
     by = {r[0]: r[1] for r in known.groupBy(power.alias("b")).count().collect()}
     total, least = 0, None
@@ -271,53 +328,66 @@ def _head(known: DataFrame) -> pd.DataFrame:
 def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
-    known = stored(word_scores(stored(vocabulary(docs), "words")), "word-scores")
-    n_all, n_words = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    known = stored(token_scores(vocabulary(docs)), "token-scores")
+    listed = known.filter("not head")
+    n_all, n_words = listed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     floor = math.log10(n_all + 0.1 * (n_words + 1))
-    top = _head(known)
-    head = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64),
-                                         top["lp"].to_numpy(np.float64)))
-    end = known.filter(F.col("key") == END_WORD).first()
-    c_end, lp_end = (end["n"], end["lp"]) if end else (0, 0.0)
+    lookup = spark.sparkContext.broadcast([
+        tuple(top[c].to_numpy(t) for c, t in (("key", np.int64), ("n", np.int64), ("lp", np.float64)))
+        for top in (_head(listed), _head(known.filter("head")))])
+    end = listed.filter(F.col("key") == END_WORD).first()
+    c_end = end["n"] if end else 0
+
+    def found(keys, table):
+        """Which keys the table holds, and where."""
+        if not len(table) or not len(keys):
+            return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+        u, inv = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(table, u), len(table) - 1)
+        hit = (table[at] == u)[inv]
+        return hit, at[inv][hit]
 
     def run(batches):
-        keys, n, lp = head.value
+        (keys, n, lp), (codes, _, code_lp) = lookup.value
         gain = np.log10(n + 0.1)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            w, first = words(b.column(2))[:2]
-            hit, place = np.zeros(len(w), bool), np.zeros(len(w), np.int64)
-            if len(keys):
-                u, inv = np.unique(w, return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
-                hit, place = (keys[at] == u)[inv], at[inv]
-            place = place[hit]
-
-            def total(x):
-                s = np.concatenate([[0], np.cumsum(x)])
-                return np.diff(s[first_hit])
-
-            before = np.concatenate([[0], np.cumsum(hit)])
-            first_hit = before[first]
-            rare_first = first - first_hit
+            w, first, data, starts, ends = words(b.column(2))
+            code, code_first = heads(data, first, starts, ends)
+
+            def rows(hit, first):  # row offsets among the hits
+                return np.concatenate([[0], np.cumsum(hit)])[first]
+
+            def total(x, ptr):
+                return np.diff(np.concatenate([[0], np.cumsum(x)])[ptr])
+
+            hit, place = found(w, keys)
+            code_hit, code_place = found(code, codes)
+            ptr, code_ptr = rows(hit, first), rows(code_hit, code_first)
             yield pa.RecordBatch.from_arrays([
                 pa.array(uid + np.arange(len(b))), b.column(0), b.column(1), pa.array(np.diff(first) + 1),
-                pa.array(total((n[place] > 0).astype(np.int64)) + int(c_end > 0)),
-                pa.array(total(gain[place]) + math.log10(c_end + 0.1)), pa.array(total(lp[place]) + lp_end),
-                pa.ListArray.from_arrays(pa.array(rare_first, pa.int32()), pa.array(w[~hit], pa.int64()))],
-                ["uid", "doc_id", "held_out", "n_tokens", "known", "gain", "score", "rare"])
+                pa.array(total((n[place] > 0).astype(np.int64), ptr) + int(c_end > 0)),
+                pa.array(total(gain[place], ptr) + math.log10(c_end + 0.1)),
+                pa.array(total(lp[place], ptr) + total(code_lp[code_place], code_ptr)),
+                pa.ListArray.from_arrays(pa.array(first - ptr, pa.int32()), pa.array(w[~hit], pa.int64())),
+                pa.ListArray.from_arrays(pa.array(code_first - code_ptr, pa.int32()),
+                                         pa.array(code[~code_hit], pa.int64()))],
+                ["uid", "doc_id", "held_out", "n_tokens", "known", "gain", "score", "rare", "rare_heads"])
             uid += len(b)
 
     held = F.coalesce(crc_mod(F.col("doc_id"), 10) == HELD, F.lit(False))
     main = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(
         run, "uid long, doc_id long, held_out boolean, n_tokens long, known long, gain double, score double, "
-             "rare array<long>"), "scores")
-    # The words outside the head, each joined with its count and score.
-    m = F.col("m")
-    rare = (main.select("uid", F.explode("rare").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("m"))
-            .join(known, "key")
-            .groupBy("uid").agg(F.sum(F.when(F.col("n") > 0, m).otherwise(0)).alias("more"),
-                                F.sum(m * F.log10(F.col("n") + 0.1)).alias("rest"), F.sum(m * F.col("lp")).alias("lp")))
+             "rare array<long>, rare_heads array<long>"), "scores")
+    # The words and heads that were not looked up, each joined with its count and score.
+    m, word = F.col("m"), ~F.col("head")
+    rare = (main.select("uid", F.lit(False).alias("head"), F.explode("rare").alias("key"))
+            .unionByName(main.select("uid", F.lit(True).alias("head"), F.explode("rare_heads").alias("key")))
+            .groupBy("uid", "head", "key").agg(F.count("*").alias("m"))
+            .join(known, ["key", "head"])
+            .groupBy("uid").agg(F.sum(F.when(word & (F.col("n") > 0), m).otherwise(0)).alias("more"),
+                                F.sum(F.when(word, m * F.log10(F.col("n") + 0.1)).otherwise(0.0)).alias("rest"),
+                                F.sum(m * F.col("lp")).alias("lp")))
     zero = F.lit(0.0)
     return main.join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

@@ -1,4 +1,5 @@
 """Operators of the corpus package on small tables: edge cases and brute force."""
+import collections
 import hashlib
 import re
 import zlib
@@ -182,6 +183,35 @@ def test_context_tree_is_a_distribution():
     assert abs(p[(every & ~np.uint64(255)) == start].sum() - 1) < 1e-9
 
 
+def test_context_tree_matches_every_byte_read_in_turn(spark):
+    texts = ["the cat sat on a mat", "The Cat  sat", "a", None, "", "\u00e9 caf\u00e9\ta\nb", "nul \x00 x\x00y"]
+    data = [(i, texts[i % len(texts)]) for i in range(60)]
+    got = {r["doc_id"]: r for r in ctw.scores(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert len(got) == 60 and {r["held_out"] for r in got.values()} == {True, False}
+
+    def cells(text):  # every byte with the seven before it, as the docstring defines them
+        before = b""
+        for w in [*re.findall(rb"[^\x20\x09-\x0D]+", (text or "").lower().encode()), None]:
+            tail, own = before[-ctw.TAIL:], (w + b" " if w else b"\xff")
+            for j, b in enumerate(own):
+                ctx = (bytes(7) + (tail if j < ctw.START else b"") + b" " + own[:j])[-7:]
+                yield int.from_bytes(ctx[::-1] + bytes([b]), "big")
+            before = w
+
+    train = collections.Counter()
+    for i, t in data:
+        if not got[i]["held_out"]:
+            train.update(cells(t))
+    every = np.array(sorted({c for t in texts for c in cells(t)}), np.uint64)
+    n = np.array([train[int(c)] for c in every], float)
+    lp = np.zeros(len(every))
+    for _, bit, q, _, _, _ in ctw._subtree(every, n, 0):
+        lp += np.log10(np.where(bit == 1, q, 1 - q))
+    at = {int(c): v for c, v in zip(every, lp)}
+    for i, t in data:
+        assert abs(got[i]["score"] - sum(at[c] for c in cells(t))) < 1e-6, t
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 6))
