@@ -29,16 +29,15 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
                      F.col(key).alias("_k"), sec(right_ts).alias("_t"), F.lit(0).alias("_side"),
                      F.struct(*values).alias("_r"))
     u = L.unionByName(R).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)).cast("long"))
-    # right sorts before left at equal timestamps: right_ts <= left_ts matches
-    w = (Window.partitionBy("_k", "_b").orderBy("_t", "_side")
+    # right sorts before left at equal timestamps: right_ts <= left_ts matches;
+    # of right rows with one timestamp the largest values win
+    w = (Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_r")
          .rowsBetween(Window.unboundedPreceding, 0))
     local = u.withColumn("_loc", F.last("_r", ignorenulls=True).over(w))
     # per-cell last right value, then carry it forward across the key's cells
     cells = (u.filter(F.col("_side") == 0).groupBy("_k", "_b")
-              .agg(F.max_by("_r", F.struct("_t")).alias("_last")))
+              .agg(F.max_by("_r", F.struct("_t", "_r")).alias("_last")))
     wc = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = cells.select("_k", F.col("_b").alias("_cb"), F.col("_b"),
-                         F.last("_last", ignorenulls=True).over(wc).alias("_carry"), "_last")
     # cells of the left side that hold no right row still need the carry-in:
     # the value is the last right cell strictly before the left cell
     lcells = local.filter(F.col("_side") == 1).select("_k", "_b").distinct()

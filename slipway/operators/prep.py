@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slipway.operators.joins import dedupe_first
+from slipway.plans.ranking import column_quantiles
 
 ID_COLS = ("order_id", "seller_id")
 DATE_COL = "as_of_date"
@@ -34,7 +35,7 @@ def feature_columns(df: DataFrame, target: str, extra_exclude=()) -> tuple[list[
 def fit_numeric(train: DataFrame, cols: list[str]) -> dict:
     """M04 fit: exact median, then mean and population std of the imputed
     column (sklearn imputer -> scaler); zero variance -> scale 1."""
-    med = train.agg(*[F.median(c).alias(c) for c in cols]).first().asDict()
+    med = {c: v[0] for c, v in column_quantiles(train, cols, [0.5]).items()} if cols else {}
     imp = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in cols])
     st = imp.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
     return {c: {"median": med[c], "mean": st[f"m_{c}"],
@@ -107,8 +108,10 @@ def handle_missing(df: DataFrame, strategy: str = "median", key_cols: list[str]
     num = [f.name for f in d.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in keys]
     if not num:
         return d
-    fn = F.median if strategy == "median" else F.avg
-    fill = d.agg(*[fn(c).alias(c) for c in num]).first().asDict()
+    if strategy == "median":
+        fill = {c: v[0] for c, v in column_quantiles(d, num, [0.5]).items()}
+    else:
+        fill = d.agg(*[F.avg(c).alias(c) for c in num]).first().asDict()
     return d.select(*[F.coalesce(F.col(c), F.lit(fill[c]).cast(d.schema[c].dataType)).alias(c)
                       if c in num and fill[c] is not None else F.col(c) for c in d.columns])
 
@@ -119,10 +122,10 @@ def remove_outliers(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFr
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return df
-    qs = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in cols]).first().asDict()
+    qs = column_quantiles(df, cols, [0.25, 0.75])
     out = df
     for c in cols:
-        if qs[c] is None:
+        if qs[c][0] is None:
             continue
         q1, q3 = qs[c]
         lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)

@@ -9,6 +9,8 @@ top-k, so no query's candidate set is ever one window task.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +112,7 @@ def tfidf_long(docs: DataFrame, id_col: str, text_col: str = "text", vocab: Data
         # the (doc, term) counts feed both the vocabulary and the weights:
         # tokenize the corpus once
         tc = cut_lineage(tc)
-        n_docs = tc.select(id_col).distinct().count()
+        n_docs = docs.select(id_col).distinct().count()  # documents without a token count as well
         vocab = fit_vocabulary(tc, id_col, n_docs)
     return tfidf_from_counts(tc, id_col, vocab)
 
@@ -129,24 +131,34 @@ def sq_l2(a, b):
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _in_batches(queries: DataFrame, n: int, search) -> DataFrame:
+    """``search`` over batches of the queries, each small enough to broadcast.
+
+    The hash of the id deals queries out; a batch that still is too large is
+    split again by the search itself, under another hash.
+    """
+    parts = -(-2 * n // BROADCAST_MAX_QUERIES)
+    batch = F.pmod(F.xxhash64("query_id", F.lit(n)), F.lit(parts))
+    return functools.reduce(DataFrame.unionByName, [search(queries.filter(batch == i)) for i in range(parts)])
+
+
 def top_k_nearest(index: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = TOP_K,
                   filter_eq: dict | None = None, n_salt: int | None = None) -> DataFrame:
     """Per query, the k nearest index rows by squared L2 (id breaks
     ties), after an optional metadata equality filter.
 
     Queries are broadcast only below ``BROADCAST_MAX_QUERIES`` (checked
-    count); stage 1 keeps the k best per (query, salt) cell, stage 2 picks
+    count), more of them in batches; stage 1 keeps the k best per (query, salt) cell, stage 2 picks
     the k best of the <= k * n_salt survivors, so every window task holds
     at most ~1/n_salt of the index."""
     idx = index
     for c, v in (filter_eq or {}).items():
         idx = idx.filter(F.col(c) == v)
-    nq = queries.count()
+    nq = queries.select("query_id").distinct().count()
     if n_salt is None:
         n_salt = max(1, min(4096, idx.count() // 200_000 + 1))
     if nq > BROADCAST_MAX_QUERIES:
-        raise ValueError(f"{nq} queries exceed the checked broadcast bound {BROADCAST_MAX_QUERIES}; "
-                         "submit them in batches")
+        return _in_batches(queries, nq, lambda q: top_k_nearest(idx, q, id_col, vec_col, k, n_salt=n_salt))
     q = F.broadcast(queries.select(F.col("query_id"), F.col("query_vec")))
     c = idx.select(id_col, F.col(vec_col).alias("_v"), (F.abs(F.xxhash64(id_col)) % n_salt).alias("_salt"))
     # every index row meets every (bounded, broadcast) query: exact search
@@ -218,7 +230,7 @@ def top_k_sparse(index_long: DataFrame, query_long: DataFrame, doc_col: str, k:
     through the salted two-stage cut."""
     nq = query_long.select("query_id").distinct().count()
     if nq > BROADCAST_MAX_QUERIES:
-        raise ValueError(f"{nq} queries exceed the checked broadcast bound {BROADCAST_MAX_QUERIES}")
+        return _in_batches(query_long, nq, lambda q: top_k_sparse(index_long, q, doc_col, k, n_salt))
     q = F.broadcast(query_long.select("query_id", "term", F.col("weight").alias("wq")))
     j = index_long.select(doc_col, "term", F.col("weight").alias("wd")).join(q, "term")
     dots = j.groupBy("query_id", doc_col).agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))

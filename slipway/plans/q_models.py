@@ -221,7 +221,8 @@ def x05(spark, sf):
     train = x.filter(F.col("block") == "train")
     m = md.fit_logistic(train, TARGET)
     recent = trailing_window(x, 90)
-    att = ks.explain(recent, m, prep.names, ks.background_sample(train, "_rid"), max_coalitions=64)
+    att = ks.explain(recent, m, prep.names, ks.background_sample(train, "_rid"),
+                     scorer=ks.logistic_scorer(m))
     seller = ex.seller_mean_attribution(att.filter(F.col("feature") != "__expected__"))
     top = ex.top_drivers(seller)
     return report(top.select("seller_id", F.posexplode("top_features").alias("rank", "f"))

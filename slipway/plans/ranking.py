@@ -122,8 +122,8 @@ def _values_at_ranks(vc: DataFrame, col: str, ranks: list[int]) -> dict[int, flo
     if not need:
         return {}
     cand = cum.filter(F.col("_bucket").isin(need))
-    conds = [((F.lit(k) >= F.col("cum__n") - F.col("_n")) & (F.lit(k) < F.col("cum__n"))) for k in sorted(set(ranks))]
-    hit = cand.filter(F.greatest(*[c.cast("int") for c in conds]) == 1) if len(conds) > 1 else cand.filter(conds[0])
+    wanted = F.array(*[F.lit(k).cast("long") for k in sorted(set(ranks))])
+    hit = cand.filter(F.exists(wanted, lambda k: (k >= F.col("cum__n") - F.col("_n")) & (k < F.col("cum__n"))))
     rows = hit.select(col, (F.col("cum__n") - F.col("_n")).alias("lo"), F.col("cum__n").alias("hi")).collect()
     out = {}
     for k in ranks:
@@ -158,6 +158,20 @@ def quantile_values(df: DataFrame, col: str, qs: Sequence[float]) -> list[float
     return out
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact linear quantiles of several numeric columns, from one pass.
+
+    The columns become (column, value) rows that are counted before the
+    shuffle, so no task holds all values of a column; the driver reads
+    len(cols) * len(qs) rows. A column without values gives None.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])
+    long = df.select(F.inline(cells)).filter(F.col("v").isNotNull())
+    counts = cut_lineage(long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("_n")))
+    got = {(r["column"], r["q"]): r["value"] for r in quantiles_of_counts(counts, "v", qs, ["column"]).collect()}
+    return {c: [got.get((c, float(q))) for q in qs] for c in cols}
+
+
 def quantile_nearest_value(df: DataFrame, col: str, q: float, rounding: str = "half_even"):
     """Order statistic at index round_half_even((n-1)*q) (pandas 'nearest'),
     or floor(n*q) with rounding='floor_n'. Returns the value (driver scalar)."""
@@ -186,6 +200,11 @@ def quantiles_linear(df: DataFrame, col: str, qs: Sequence[float], part: Sequenc
         rows = [(float(q), v) for q, v in zip(qs, vals) if v is not None]
         return spark.createDataFrame(rows, "q double, value double")
     vc = df.filter(F.col(col).isNotNull()).groupBy(*part, col).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(vc, col, qs, part)
+
+
+def quantiles_of_counts(vc: DataFrame, col: str, qs: Sequence[float], part: list[str]) -> DataFrame:
+    """Exact linear quantiles per group from value counts (part.., col, _n)."""
     n = vc.groupBy(*part).agg(F.sum("_n").alias("_N"))
     t = n.select(*part, "_N", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     t = t.withColumn("_h", (F.col("_N") - 1) * F.col("q"))

@@ -8,7 +8,6 @@ byte-order mark in the header is harmless).
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +72,19 @@ CATALOG: dict[str, T.StructType] = {
 OPTIONAL_SOURCES = {"external_signals"}
 
 
+def _hadoop(spark: SparkSession | None, path: str):
+    """The file system that Spark itself uses for ``path`` (local, hdfs, object
+    stores), and the path in its terms."""
+    spark = spark or SparkSession.builder.getOrCreate()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(path: str, spark: SparkSession | None = None) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
 class TableStore:
     """Parquet tables under one root folder."""
 
@@ -90,11 +102,13 @@ class TableStore:
         return list(CATALOG)
 
     def drop_all(self) -> None:
+        """Remove the catalog's tables; ``truncate`` empties one and keeps it."""
         for name in CATALOG:
-            self.truncate(name)
+            fs, p = _hadoop(self.spark, self.path(name))
+            fs.delete(p, True)
 
     def exists(self, table: str) -> bool:
-        return os.path.exists(self.path(table)) if "://" not in self.root else True
+        return path_exists(self.path(table), self.spark)
 
     # S07 / S08
     def read_table(self, table: str, limit: int | None = None) -> DataFrame:
@@ -143,10 +157,10 @@ class TableStore:
 
 def verify_files_present(folder: str, required: list[str], optional: list[str] = ()) -> list[str]:
     """Raise listing every missing required file; return present optional ones."""
-    missing = [f for f in required if not os.path.exists(os.path.join(folder, f))]
+    missing = [f for f in required if not path_exists(f"{folder}/{f}")]
     if missing:
         raise FileNotFoundError(f"missing source files: {missing}")
-    return [f for f in optional if os.path.exists(os.path.join(folder, f))]
+    return [f for f in optional if path_exists(f"{folder}/{f}")]
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -157,7 +171,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def optional_source(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An absent optional source is an empty DataFrame with its schema."""
-    if not os.path.exists(path):
+    if not path_exists(path, spark):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 

@@ -3,8 +3,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from slipway.operators import text
 from slipway.operators.joins import asof_backward, dedupe_first
 from slipway.operators.text import chunk_text
+from slipway.plans.ranking import column_quantiles
 
 
 def _chunks(spark, text, size, overlap):
@@ -59,3 +61,44 @@ def test_sequence_windows_blocks_and_halo(spark):
             prev = [[x.a, x.b] for x in sub.iloc[max(0, i - 4):i].itertuples()]
             exp = [[0.0, 0.0]] * (4 - len(prev)) + prev
             assert [list(v) for v in got[r.order_id]["sequence"]] == exp
+
+
+def test_asof_ties_take_the_largest_values(spark):
+    left = spark.sql("select 1 as k, timestamp'2024-01-02 00:00:00' as t union all select 1, timestamp'2024-01-05 00:00:00'")
+    right = spark.sql("select 1 as k, timestamp'2024-01-02 00:00:00' as rt, explode(array(3, 9, 5)) as v")
+    for parts in (1, 3):
+        got = asof_backward(left, right.repartition(parts), "k", "t", "rt", ["rt", "v"]).collect()
+        assert [r["v"] for r in got] == [9, 9]
+
+
+def test_more_queries_than_one_broadcast_holds(spark, monkeypatch):
+    index = spark.range(50).select("id", F.array(F.col("id").cast("double"), F.lit(0.0)).alias("vec"))
+    queries = spark.range(37).select(F.col("id").alias("query_id"), F.array(F.col("id") + 0.1, F.lit(0.0)).alias("query_vec"))
+    words = lambda d, c: d.select(c, F.explode(F.array(F.lit("all"), F.concat(F.lit("t"), F.col(c)))).alias("term"),
+                                  F.lit(0.5).alias("weight"))
+    docs, asked = words(index, "id"), words(queries, "query_id")
+    cols = ["query_id", "id", "rank"]
+
+    def run():
+        near = text.top_k_nearest(index, queries, "id", "vec", 3).select(cols).collect()
+        return sorted(near), sorted(text.top_k_sparse(docs, asked, "id", 3).select(cols).collect())
+
+    whole = run()
+    monkeypatch.setattr(text, "BROADCAST_MAX_QUERIES", 10)
+    assert run() == whole and len(whole[0]) == 37 * 3
+
+
+def test_documents_without_tokens_count(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red hen"), (3, "- !"), (4, None)], "id long, text string")
+    got = {(r["id"], r["term"]): r["weight"] for r in text.tfidf_long(docs, "id").collect()}
+    assert set(got) == {(1, "red"), (2, "red")}  # two of four documents: below the largest share
+
+
+def test_column_quantiles(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.normal(size=501), "b": rng.integers(0, 3, 501).astype(float), "c": np.full(501, 7.0)})
+    df = spark.createDataFrame([(*map(float, r), None) for r in pdf.to_numpy()], "a double, b double, c double, d double")
+    got = column_quantiles(df, ["a", "b", "c", "d"], [0.25, 0.5, 0.75])
+    for c in pdf:
+        assert np.allclose(got[c], np.quantile(pdf[c], [0.25, 0.5, 0.75]), atol=1e-12)
+    assert got["d"] == [None] * 3
