@@ -54,9 +54,10 @@ class Encoder(dict):
         self.tok = Tokenizer.from_file(path)
 
     def __missing__(self, chunk: str) -> bytes:
-        # A trailing comma or full stop after a letter is a token of its own,
-        # and ASCII letters are lower-cased: both reuse what is known.
-        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
+        # A trailing comma or full stop after an ASCII letter is a token of its own,
+        # and ASCII letters are lower-cased: both reuse what is known. Other letters
+        # may be normalized into a letter and a mark, and mark and sign are one piece.
+        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isascii() and chunk[-2].isalpha():
             ids = self[chunk[:-1]] + self[chunk[-1]]
         elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
             ids = self[chunk.lower()]

@@ -161,6 +161,22 @@ def test_packing(docs, none):
     assert np.bincount(bins, size).max() <= 100 and bins.max() + 1 <= 1.02 * -(-size.sum() // 100)
 
 
+def test_packing_encodes_chunks_as_whole_texts():
+    import sys
+    enc = packing.Encoder(packing.tokenizer_path())
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and (ord(c) < 0x3000 or 0xF900 <= ord(c) < 0x20000)]
+    assert {"\u0130", "\u0958", "\u09dc", "\ufb2a"} <= set(letters)
+    marks = ["\u0301", "\u0307", "\u0323\u0301", "\u05b7", "\u093c"]
+    words = [*letters, *(f"ab{c}" for c in letters), *(f"{c}ab" for c in letters), *(a + m for a in "aIZ\u0915\u05e9" for m in marks),
+             "don't", "IT'S", "x1", "<|endoftext|>", "a\tb", "\u212a", "\u03a3"]
+    chunks = [w + sign for w in words for sign in (",", ".", "..", ",.", "")]
+    whole = enc.tok.encode_batch(chunks, add_special_tokens=False)
+    wrong = [c for c, w in zip(chunks, whole) if enc[c] != np.array(w.ids, "<u4").tobytes()]
+    assert not wrong, wrong[:20]
+    for text in ("\u0130, \u0958. \u09dc,\n\ufb2a.", "A dog, a \u0130. \u0301x, \n \u0301, end."):
+        assert enc.text(text) == np.array(enc.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + packing.END
+
+
 def test_models_on_edge_cases(spark, docs, none):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for fn in (toxicity.scores, quality.scores):
