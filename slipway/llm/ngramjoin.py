@@ -25,14 +25,22 @@ shingle among the first ``|x| - ceil(0.75 * |x|) + 1`` of x and of y. So:
    distance obeys the triangle inequality). Columns whose classes lie in one
    component - all columns of a group of near copies - give nothing more.
 
-The result is exact: no link between different texts is lost, and no group
-is expanded into its pairs. The order in step 1 affects speed only.
+The components are exact, and no group is expanded into its pairs for them;
+``links`` returns links that connect every component, not all. The order in
+step 1 affects speed only.
+
+``counted`` adds the number of links of every document, all of them: within a
+component the full sets are multiplied in blocks of rows, so that work grows
+with the square of a component (of its different texts, not of its copies),
+spread over the pairs of blocks. Counts are handed on, pairs are not.
 
 Defined cases: null, empty or blank text has an empty set, size 0, and is its
 own component; a text of fewer than five words is one shingle; a null doc_id
 is treated as the smallest id and returned as null; rows repeating a doc_id
 with equal texts are one document, with other texts they are linked through
-the id; an empty table gives an empty result; other columns are not read.
+the id; an empty table gives an empty result; other columns are not read. The
+links of a row are the other texts (distinct doc_id and shingle set) that link
+with its own; an empty set has none.
 """
 
 from __future__ import annotations
@@ -60,6 +68,13 @@ ORDER_BITS = 20
 # Pairs that a task adds up before it hands them on.
 PAIR_BLOCK = 1 << 20
 
+# Classes and shingles in a block of rows of the product within a component, about.
+BLOCK_CLASSES = 256
+BLOCK_SHINGLES = 1 << 17
+# Columns that give more pairs of two blocks than this are multiplied as dense ones.
+DENSE_PAIRS = 1024
+KEY = ["size", "d1", "d2"]  # of a class
+
 ENTRY = "h long, id long, size int"
 
 _MULT = mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -438,14 +453,14 @@ def _rest(entries: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (id, size, rep) of every document, and links (a, b)
+    """(members, links): members (id, size, d1, d2, rep) of every document, and links (a, b)
     between class representatives that connect every component."""
     prepare(docs.sparkSession)
     marked = stored(digests(docs), "digests")
     own = marked.filter("size is not null").select("id", "size", "d1", "d2")
     classes = stored(own.filter("size > 0").groupBy("size", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    members = (own.join(classes, ["size", "d1", "d2"], "left")
-               .select("id", "size", F.coalesce("rep", "id").alias("rep")))
+    members = (own.join(classes, KEY, "left")
+               .select("id", *KEY, F.coalesce("rep", "id").alias("rep")))
     columns = stored(_columns(_entries(docs, classes, _order(marked))), "columns")
     # The text that copies were made from has few columns of its own: the larger
     # the share of a class's columns that others hold, the better a hub it is.
@@ -464,24 +479,176 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, stored(found.unionByName(rest), "links")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(id, size, comp) of every document: the near-duplicate groups."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, comps): members as in ``links``, and the component of every class that links or is tied."""
     members, found = links(docs)
     # A row that repeats an id with another text ties its classes together.
     tied = (members.filter("size > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
             .filter("a <> b").select("a", "b"))
-    comps = components(found.unionByName(tied)).select(F.col("id").alias("rep"), "comp")
+    return members, components(found.unionByName(tied)).select(F.col("id").alias("rep"), "comp")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(id, size, comp) of every document: the near-duplicate groups."""
+    members, comps = _grouped(docs)
     return members.join(comps, "rep", "left").select("id", "size", F.coalesce("comp", "rep").alias("comp"))
 
 
+def _blocks(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``classes`` (comp, blk, n_blk, rep, weight, key) in a row per block: the sets as
+    a sparse matrix of its own columns."""
+
+    def sets_of(batches):
+        for b in batches:
+            sets, ptr = shingle_sets(b.column(1))
+            raw = sets.tobytes()
+            d1 = _sums(mix64(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), ptr)
+            d2 = _sums(mix64(sets + np.uint64(0x1234567)), ptr)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.diff(ptr), pa.int64()), pa.array(d1.view(np.int64)),
+                 pa.array(d2.view(np.int64)),
+                 pa.array([raw[8 * x:8 * y] for x, y in zip(ptr[:-1], ptr[1:])], pa.binary())],
+                ["rep", *KEY, "shingles"])
+
+    def packed(key, rows):
+        sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+        cols, at = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.array([[r[c] for c in (*KEY, "weight")] for r in rows], np.int64).T
+        return dict(zip(("comp", "blk", "n_blk"), key), own=np.ascontiguousarray(own).tobytes(),
+                    cols=cols.tobytes(), at=at.astype(np.uint32).tobytes())
+
+    def run(batches):
+        last, key, rows = None, None, []
+        for b in batches:
+            for r in b.to_pylist():
+                k, own = tuple(r[c] for c in ("comp", "blk", "n_blk")), tuple(r[c] for c in KEY)
+                if rows and k != key:
+                    yield pa.RecordBatch.from_pylist([packed(key, rows)], schema=out)
+                    rows, last = [], None
+                key = k
+                if own != last:  # a text may be there in several rows
+                    rows.append(r)
+                last = own
+        if rows:
+            yield pa.RecordBatch.from_pylist([packed(key, rows)], schema=out)
+
+    out = pa.schema([("comp", pa.int64()), ("blk", pa.int32()), ("n_blk", pa.int32()), ("own", pa.binary()),
+                     ("cols", pa.binary()), ("at", pa.binary())])
+    sets = (_only(docs, classes.select(F.col("rep").alias("id")).distinct())
+            .mapInArrow(sets_of, "rep long, size long, d1 long, d2 long, shingles binary"))
+    return (classes.join(sets, ["rep", *KEY]).repartition("comp", "blk").sortWithinPartitions("comp", "blk", *KEY)
+            .mapInArrow(run, "comp long, blk int, n_blk int, own binary, cols binary, at binary"))
+
+
+def _product(x: tuple, y: tuple) -> np.ndarray:
+    """Overlaps of the rows of two blocks, each (sizes, columns, column of every entry)."""
+    (size_x, cols_x, at_x), (size_y, cols_y, at_y) = x, y
+    _, in_x, in_y = np.intersect1d(cols_x, cols_y, assume_unique=True, return_indices=True)
+    m = len(in_x)
+
+    def entries(size, cols, at, used):
+        """Row and common column of every entry in a common column, in order of column."""
+        new = np.full(len(cols), -1)
+        new[used] = np.arange(m)
+        col, row = new[at], np.repeat(np.arange(len(size)), size)
+        row, col = row[col >= 0], col[col >= 0]
+        order = np.argsort(col, kind="stable")
+        return row[order], col[order], np.bincount(col, minlength=m)
+
+    row_x, col_x, n_x = entries(size_x, cols_x, at_x, in_x)
+    row_y, col_y, n_y = entries(size_y, cols_y, at_y, in_y)
+    out = np.zeros((len(size_x), len(size_y)), np.int64)
+    dense = np.flatnonzero(n_x * n_y > DENSE_PAIRS)
+    place = np.full(m, -1)
+    place[dense] = np.arange(len(dense))
+    for lo in range(0, len(dense), 4096):
+        part = []
+        for row, col, size in ((row_x, col_x, size_x), (row_y, col_y, size_y)):
+            on = (place[col] >= lo) & (place[col] < lo + 4096)
+            a = np.zeros((len(size), min(4096, len(dense) - lo)), np.float32)
+            a[row[on], place[col[on]] - lo] = 1
+            part.append(a)
+        out += np.rint(part[0] @ part[1].T).astype(np.int64)
+    # The other columns: every entry of x with all of y in its column.
+    rare = place[col_x] < 0
+    row, col = row_x[rare], col_x[rare]
+    first = np.concatenate([[0], np.cumsum(n_y)])
+    upto = np.cumsum(n_y[col])
+    flat = out.reshape(-1)
+    lo = 0
+    while lo < len(col):
+        done = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + (1 << 22), "right")))
+        n = n_y[col[lo:hi]]
+        j = np.repeat(first[col[lo:hi]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        flat += np.bincount(np.repeat(row[lo:hi], n) * len(size_y) + row_y[j], minlength=len(flat))
+        lo = hi
+    return out
+
+
+def _link_numbers(blocks: DataFrame) -> DataFrame:
+    """(size, d1, d2, n): the documents of other classes that link with the class."""
+    schema = "size long, d1 long, d2 long, n long"
+
+    def block(b, k, names):
+        own, cols, at = (b.column(c)[k].as_py() for c in names)
+        own = np.frombuffer(own, np.int64).reshape(4, -1)
+        return own, (own[0], np.frombuffer(cols, np.uint64), np.frombuffer(at, np.uint32))
+
+    def batch(own, n):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*own[:3], n)], [*KEY, "n"])
+
+    def within(batches):
+        for b in batches:
+            for k in range(len(b)):
+                own, x = block(b, k, ("own", "cols", "at"))
+                on = linked(x[0][:, None], x[0], _product(x, x))
+                np.fill_diagonal(on, False)
+                yield batch(own, on @ own[3])
+
+    def across(batches):
+        for b in batches:
+            for k in range(len(b)):
+                own, x = block(b, k, ("own", "cols", "at"))
+                other, y = block(b, k, ("own_y", "cols_y", "at_y"))
+                on = linked(x[0][:, None], y[0], _product(x, y))
+                yield batch(own, on @ other[3])
+                yield batch(other, own[3] @ on)
+
+    many = blocks.filter("n_blk > 1")
+    x = (many.filter("blk < n_blk - 1")
+         .select("comp", F.col("blk").alias("i"), F.expr("explode(sequence(blk + 1, n_blk - 1)) j"), "own", "cols", "at"))
+    y = many.filter("blk > 0").select("comp", F.expr("explode(sequence(0, blk - 1)) i"), F.col("blk").alias("j"),
+                                      *(F.col(c).alias(f"{c}_y") for c in ("own", "cols", "at")))
+    found = (blocks.select("own", "cols", "at").mapInArrow(within, schema)
+             .unionByName(x.join(y, ["comp", "i", "j"]).drop("comp", "i", "j").mapInArrow(across, schema)))
+    return found.groupBy(*KEY).agg(F.sum("n").alias("n"))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(id, size, comp, n_links) of every document: its group and the number of its links."""
+    members, comps = _grouped(docs)
+    members, comps = stored(members, "members"), stored(comps, "comps")
+    classes = stored(members.filter("size > 0").groupBy(*KEY)
+                     .agg(F.min("rep").alias("rep"), F.countDistinct("id").alias("weight")), "weights")
+    c = classes.join(comps, "rep")
+    n_blk = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    dealt = (c.join(c.groupBy("comp").agg(n_blk.alias("n_blk")), "comp")
+             .withColumn("blk", F.pmod(F.xxhash64(*KEY), F.col("n_blk")).cast("int")))
+    numbers = _link_numbers(stored(_blocks(docs, stored(dealt, "dealt")), "blocks"))
+    of = classes.join(numbers, KEY, "left").select(*KEY, (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return (members.join(comps, "rep", "left").join(of, KEY, "left")
+            .select("id", "size", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
 def _null_id(c):
     return F.when(c != NO_ID, c)
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    g = groups(table(spark, sf_dir, "documents"))
+    g = counted(table(spark, sf_dir, "documents"))
     return g.select(_null_id(F.col("id")).alias("doc_id"), F.col("size").alias("n_shingles"),
-                    _null_id(F.col("comp")).alias("component_id"))
+                    _null_id(F.col("comp")).alias("component_id"), "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -130,6 +130,32 @@ def test_ngram_join(spark, docs, none):
     assert ngramjoin.keep_one(docs).columns == docs.columns
 
 
+def test_ngram_join_counts_all_links(spark, docs, none, monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    base = [WORDS[k] for k in rng.integers(0, 300, 90)]
+    texts = [(i, " ".join(base[:k] + [f"z{i}"] + base[k + 1:])) for i, k in enumerate(rng.integers(0, 90, 70))]
+    texts += [(100 + i, " ".join(base[:15 + i])) for i in range(0, 75, 2)]
+    texts += [(300 + i, texts[i][1]) for i in range(5)] + [texts[0], (400, "a b"), (401, "A  b"), (402, None), (403, "c d")]
+    texts += [(404, "one text of this id"), (404, "a b")]
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = []
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold))
+        own.append((i, frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
+    want = sorted((i, len(s), sum(100 * len(s & o) >= 75 * len(s | o) for j, o in set(own) - {(i, s)} if o and s))
+                  for i, s in own)
+    spark.createDataFrame(rows(texts), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    for size, dense in ((256, 1024), (16, 4)):  # one block a component, several with dense columns
+        monkeypatch.setattr(ngramjoin, "BLOCK_CLASSES", size)
+        monkeypatch.setattr(ngramjoin, "DENSE_PAIRS", dense)
+        got = ngramjoin.op3_ngram_join(spark, str(tmp_path)).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == want, size
+    assert max(n for _, _, n in want) > 20
+    assert ngramjoin.counted(none).count() == 0
+    assert {r["id"]: r["n_links"] for r in ngramjoin.counted(docs).collect() if r["id"] in (1, 4, 5, 6, 7)} == {
+        1: 0, 4: 2, 5: 2, 6: 2, 7: 1}
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(WORDS[40:60])), (2, "no such words at all in any of the other documents"),
                                    (3, "A, B!"), (4, None)], "item_id long, text string")
