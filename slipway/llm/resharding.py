@@ -8,8 +8,9 @@ parameter) says how many bytes go from each old shard to each new one, and
 the blocks of an old shard are dealt to its targets, largest first, to meet
 those amounts. Only block totals reach the driver: shards x BLOCKS rows.
 
-``rewrite`` then writes the shards that gain or lose rows and leaves the
-files of all others as they are.
+``rewrite`` then writes the shards that gain or lose rows, removes those that
+end up empty and leaves the files of all others as they are. The query writes
+its affected shards into the shared folder and reads its figures back from them.
 
 Defined cases: null text has no bytes (size 1, crc of nothing); an empty
 table gives an empty plan; rows are told apart by all of (doc_id, size, crc),
@@ -20,15 +21,19 @@ value like any other; other columns pass through ``assign``.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipway.llm.common import table
+from slipway.session import ensure_checkpoint_dir
 
 SHARDS = 16
 OLD = 12
 BLOCKS = 4096
+# Rows of a file of a new shard, about.
+FILE_ROWS = 1 << 13
 
 
 def min_cost_flow(supply: list[int], demand: list[int]) -> dict[tuple[int, int], int]:
@@ -69,11 +74,16 @@ def min_cost_flow(supply: list[int], demand: list[int]) -> dict[tuple[int, int],
     return {k: f for k, f in flow.items() if f}
 
 
+def _digest() -> tuple:
+    """Size and crc of the column text."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return F.octet_length(raw).cast("long") + 1, F.crc32(raw)
+
+
 def sized(docs: DataFrame, old) -> DataFrame:
     """``docs`` with _old, _size, _crc and _block."""
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return (docs.withColumn("_old", old.cast("int"))
-            .withColumn("_size", F.octet_length(raw).cast("long") + 1).withColumn("_crc", F.crc32(raw))
+    size, crc = _digest()
+    return (docs.withColumn("_old", old.cast("int")).withColumn("_size", size).withColumn("_crc", crc)
             .withColumn("_block", F.pmod(F.xxhash64("doc_id", "_size", "_crc"), F.lit(BLOCKS)).cast("int")))
 
 
@@ -108,23 +118,31 @@ def assign(docs: DataFrame, old, n_old: int, shares: list[float]) -> DataFrame:
     spark = docs.sparkSession
     moves = spark.createDataFrame([m[:4] for m in plan(rows, n_old, shares)],
                                   "_old int, _block int, _shard int, _first long")
-    place = Window.partitionBy("_old", "_block").orderBy("doc_id", "_crc", "_size")
+    # Rows meet by new shard and file, each of whole blocks, so that a text is sent once and written there.
+    place = Window.partitionBy("_shard", "_file", "_old", "_block").orderBy("doc_id", "_crc", "_size")
     # The plan has at most n_old * BLOCKS rows, hence the broadcast.
     return (rows.join(F.broadcast(moves), ["_old", "_block"])
-            .withColumn("_slot", F.col("_first") + F.row_number().over(place) - 1).drop("_first", "_block"))
+            .withColumn("_file", F.expr(f"_first div {FILE_ROWS}")).repartition("_shard", "_file")
+            .withColumn("_slot", F.col("_first") + F.row_number().over(place) - 1).drop("_first", "_block", "_file"))
 
 
 def rewrite(assigned: DataFrame, path: str, names: list[str]) -> list[int]:
     """Write the shards under ``path`` (folders shard=N) that gain or lose rows; returns them.
 
     Shards that keep just their rows are not touched. New files are complete
-    before old ones of a shard are replaced (dynamic partition overwrite).
+    before old ones of a shard are replaced (dynamic partition overwrite), and
+    before the folders of shards that lose all their rows are removed.
     """
-    moved = assigned.filter("_old <> _shard")
-    hit = sorted({r[0] for r in moved.select(F.explode(F.array("_old", "_shard"))).distinct().collect()})
+    ways = [tuple(r) for r in assigned.select("_old", "_shard").distinct().collect()]
+    hit = sorted({x for old, new in ways if old != new for x in (old, new)})
     rows = assigned.filter(F.col("_shard").isin(hit)) if hit else assigned.limit(0)
-    (rows.select(*names, F.col("_shard").alias("shard")).repartition("shard").sortWithinPartitions("shard")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
+    (rows.select(*names, F.col("_shard").alias("shard")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
+    # The overwrite replaces folders that receive rows only.
+    sc = assigned.sparkSession.sparkContext
+    for x in set(hit) - {new for _, new in ways}:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard={x}")
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
     return hit
 
 
@@ -133,6 +151,13 @@ def op4_mincost_reshard(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(OLD))
     out = assign(docs, old, OLD, [1.0] * SHARDS)
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
-                      F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"),
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/shards-{uuid.uuid4().hex}"
+    hit = rewrite(out, path, ["doc_id", "text", "_old", "_slot"])
+    now = spark.read.schema("doc_id long, text string, _old int, _slot long, shard int").parquet(path)
+    if set(range(SHARDS)) - set(hit):  # shards that keep just their rows are where they were
+        now = now.unionByName(out.filter(~F.col("_shard").isin(hit)).select(
+            "doc_id", "text", "_old", "_slot", F.col("_shard").alias("shard")))
+    size, crc = _digest()
+    return now.select("doc_id", size.alias("size"), crc.alias("text_crc32"),
+                      F.lit("bytes").alias("law"), "shard", F.col("_slot").alias("slot"),
                       F.lit(None).cast("int").alias("grown_shard"), F.col("_old").alias("old_shard"))

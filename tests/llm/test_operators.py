@@ -78,6 +78,39 @@ def test_reshard(docs, none, tmp_path):
     assert resharding.assign(none, old, 3, [1.0] * 4).count() == 0
 
 
+def test_reshard_over_old_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    data = [(i, "x" * (i % 7) if i % 11 else None, i % 6) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, _shard int")
+    df.withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(path)
+    for n_old, shares in ((6, [1.0] * 4), (4, [1.0, 0.0, 1.0, 1.0]), (4, [1.0] * 5)):  # a shrink, no capacity, growth
+        old = spark.read.schema("doc_id long, text string, shard int").parquet(path)
+        out = resharding.assign(old, F.col("shard"), n_old, shares)
+        want = sorted((r["doc_id"], r["text"] or "", r["_shard"]) for r in out.collect())
+        resharding.rewrite(out, path, ["doc_id", "text"])
+        back = spark.read.schema("doc_id long, text string, shard int").parquet(path).collect()
+        assert sorted((r["doc_id"], r["text"] or "", r["shard"]) for r in back) == want and len(want) == 300
+        assert {int(p.name[6:]) for p in (tmp_path / "t").glob("shard=*")} == {j for j, x in enumerate(shares) if x}
+
+
+def test_reshard_query_reads_its_files(spark, docs, none, tmp_path, monkeypatch):
+    wrote = []
+    rewrite = resharding.rewrite
+    monkeypatch.setattr(resharding, "rewrite", lambda a, path, names: wrote.append(path) or rewrite(a, path, names))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = resharding.op4_mincost_reshard(spark, str(tmp_path)).collect()
+    files = [r["shard"] for r in spark.read.parquet(wrote[0]).collect()]
+    assert files and len(files) == sum(r["shard"] in files for r in got)
+    assert all(r["shard"] in files for r in got if r["shard"] != r["old_shard"])
+    want = [(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect()]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["size"], r["text_crc32"])) for r in got)
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    (tmp_path / "none").mkdir()
+    none.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert resharding.op4_mincost_reshard(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_line_dedup(spark, docs, none):
     got = {r["doc_id"]: r for r in linededup.rewrite(docs).select("doc_id", "text").collect()}
     assert got[9]["text"] == "one" and got[10]["text"] == "two" and got[11]["text"].count("\n") == 1
