@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipway.operators import prep as pp
@@ -81,6 +81,8 @@ def fit_boosting(train: DataFrame, target: str, iters: int = GBT_ITER, depth: in
 
 
 def score(model, df: DataFrame, name: str = "score") -> DataFrame:
+    if isinstance(model, StackedModel):
+        return model.transform_scores(df, name)
     """P(y=1) as a double column (Arrow-free, JVM-side vector access)."""
     return model.transform(df).withColumn(name, vector_to_array("probability")[1]) \
                 .drop("rawPrediction", "probability", "prediction")
@@ -152,6 +154,25 @@ class StackedModel:
         x = score(self.meta, x, out)
         return x.drop("features", *self.names).withColumnRenamed("_features", "features")
 
+    @property
+    def numFeatures(self) -> int:
+        return next(iter(self.bases.values())).numFeatures
+
+    def save(self, path: str) -> None:
+        for n, m in self.bases.items():
+            save_model(m, f"{path}/base-{n}")
+        save_model(self.meta, f"{path}/meta")
+        kinds = {cls: k for k, cls in _KINDS.items()}
+        rows = [(i, n, kinds[type(m).__name__]) for i, (n, m) in enumerate(self.bases.items())]
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(rows, "at int, name string, kind string").write.mode("overwrite").parquet(f"{path}/bases")
+
+    @classmethod
+    def load(cls, path: str) -> "StackedModel":
+        rows = SparkSession.getActiveSession().read.parquet(f"{path}/bases").orderBy("at").collect()
+        bases = {r["name"]: load_model(r["kind"], f"{path}/base-{r['name']}") for r in rows}
+        return cls(bases, load_model("logistic_regression", f"{path}/meta"), [f"s_{n}" for n in bases])
+
 
 # ------------------------------------------------------------------ artifacts (S20) and checks
 _KINDS = {"logistic_regression": "LogisticRegressionModel", "random_forest": "RandomForestClassificationModel",
@@ -160,12 +181,17 @@ _KINDS = {"logistic_regression": "LogisticRegressionModel", "random_forest": "Ra
 
 def save_model(model, path: str) -> str:
     """Persist a fitted model (Spark's own format, task-parallel)."""
-    model.write().overwrite().save(path)
+    if isinstance(model, StackedModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
 def load_model(kind: str, path: str):
     from pyspark.ml import classification as C
+    if kind == "ensemble":
+        return StackedModel.load(path)
     return getattr(C, _KINDS[kind]).load(path)
 
 

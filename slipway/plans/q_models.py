@@ -23,6 +23,12 @@ def _blocks(d):
     return x, prep
 
 
+def _bases():
+    """Models inside the stack; its forest is the light one."""
+    return {"logistic_regression": md.fit_logistic, "random_forest": lambda d, t: md.fit_forest(d, t, 60, 8),
+            "boosting": md.fit_boosting}
+
+
 def _eval(scored):
     s = scored.withColumnRenamed(TARGET, "y").withColumnRenamed("_rid", "id")
     return me.ranking_metrics(s).crossJoin(me.threshold_metrics(s, 0.5))
@@ -70,8 +76,8 @@ def e17(spark, sf):
     """Every model scored on the same test rows -> per-model metrics."""
     x, _ = _blocks(dom(spark, sf))
     tr, te = x.filter(F.col("block") == "train"), x.filter(F.col("block") == "test")
-    models = {"logistic_regression": md.fit_logistic(tr, TARGET),
-              "random_forest": md.fit_forest(tr, TARGET, 60, 8)}
+    models = {"logistic_regression": md.fit_logistic(tr, TARGET), "random_forest": md.fit_forest(tr, TARGET),
+              "boosting": md.fit_boosting(tr, TARGET), "ensemble": md.fit_stacking(tr, TARGET, _bases(), 3)}
     long = None
     for name, m in models.items():
         s = md.score(m, te).select(F.lit(name).alias("model"), F.col("_rid").alias("id"), F.col(TARGET).alias("y"), "score")
@@ -98,13 +104,11 @@ def x01f(spark, sf):
 
 @register("m13_temporal_stacking")
 def m13(spark, sf):
-    """Stacked LR + forest (60 trees x depth 8 inside the stack) on the
-    train block, scored on the test block."""
+    """Stacked LR + forest (60 trees x depth 8 inside the stack) + boosted
+    trees on the train block, scored on the test block."""
     x, _ = _blocks(dom(spark, sf))
     tr, te = x.filter(F.col("block") == "train"), x.filter(F.col("block") == "test")
-    bases = {"logistic_regression": md.fit_logistic,
-             "random_forest": lambda d, t: md.fit_forest(d, t, 60, 8)}
-    st = md.fit_stacking(tr, TARGET, bases, 3)
+    st = md.fit_stacking(tr, TARGET, _bases(), 3)
     return report(_eval(st.transform_scores(te)))
 
 
@@ -129,7 +133,7 @@ PROMISE_FEATURES = ("promised_days", "shipping_limit_days", "handover_share")
 @register("u04_e20_feature_group_ablation")
 def u04(spark, sf):
     """E20 model variants: promise group only vs all-but-promise vs all
-    features (U04: column-set difference on the schema), same LR, same rows."""
+    features (U04: column-set difference on the schema), same boosted trees, same rows."""
     d = dom(spark, sf)
     f = stored_features(d)
     b = sp.purged_temporal_split(f, 0.2, 0.1, 30).filter(F.col("block").isin("train", "test"))
@@ -145,7 +149,7 @@ def u04(spark, sf):
         tr = sub.filter(F.col("block") == "train")
         prep = md.fit_prep(tr, TARGET)
         xx = prep.transform(sub, keep=("block", "_rid"))
-        m = md.fit_logistic(xx.filter(F.col("block") == "train"), TARGET)
+        m = md.fit_boosting(xx.filter(F.col("block") == "train"), TARGET)
         s = md.score(m, xx.filter(F.col("block") == "test"))
         r = me.ranking_metrics(s.withColumnRenamed(TARGET, "y")).first()
         out.append((name, len(cols), float(r["pr_auc"]), float(r["roc_auc"])))
@@ -190,22 +194,22 @@ def x04a(spark, sf):
 
 @register("m12_random_search")
 def m12(spark, sf):
-    """Random search (forest space, 4-trial budget) scored by mean AP over 3
-    forward folds of the most recent train rows."""
+    """Random search (boosted trees, 25 trials) scored by mean AP over 3
+    forward folds of the most recent 80 000 train rows."""
     from slipway.operators.tuning import random_search
     x, _ = _blocks(dom(spark, sf))
-    return report(random_search(x.filter(F.col("block") == "train"), TARGET, "forest", n_trials=4, n_folds=3))
+    return report(random_search(x.filter(F.col("block") == "train"), TARGET, "boosting", n_trials=25, n_folds=3))
 
 
 @register("m14_stage_runner")
 def m14(spark, sf):
-    """M15 bundle -> M14 stages (LR and a small forest), each saved and
-    reloaded (S20) and checked against the feature space (X08)."""
+    """M15 bundle -> M14 stages (LR, forest, tuned boosted trees, stack), each
+    saved and reloaded (S20) and checked against the feature space (X08)."""
     from slipway.plans import training as tg
     f = stored_features(dom(spark, sf))
     x, prep = tg.prepare_data(f, TARGET)
-    small = {"random_forest:small": lambda tr, t: md.fit_forest(tr, t, 30, 6)}
-    out = tg.train_stages(x, prep, TARGET, ["logistic_regression", "random_forest:small"], fitters=small)
+    stages = tg.all_stages()
+    out = tg.train_stages(x, prep, TARGET, list(stages), fitters=stages)
     return report(out.select("stage", "pr_auc", "roc_auc"))
 
 

@@ -46,3 +46,39 @@ def test_isotonic_lowers_ece(spark):
     before = me.expected_calibration_error(df).first()["ece"]
     after = me.expected_calibration_error(cal, score="calibrated").first()["ece"]
     assert after < before
+
+
+def test_model_queries_run_the_surveyed_space_bases_and_stages(spark, monkeypatch, tmp_path):
+    from types import SimpleNamespace
+    from slipway.operators import tuning as tu
+    from slipway.plans import q_models as qm
+    from slipway.plans import training as tg
+    df = (_data(spark, 400).withColumnRenamed("y", qm.TARGET).withColumnRenamed("id", "_rid")
+          .withColumn("as_of_date", F.expr("date_add(date'2020-01-01', cast(_rid as int))"))
+          .withColumn("block", F.when(F.col("_rid") < 300, "train").otherwise("test")))
+    x, prep = df.cache(), SimpleNamespace(names=["x1", "x2"])
+    calls = []
+    search, boost, forest = tu.random_search, md.fit_boosting, md.fit_forest
+    monkeypatch.setattr(qm, "_blocks", lambda d: (x, prep))
+    monkeypatch.setattr(qm, "dom", lambda *a: None)
+    monkeypatch.setattr(qm, "stored_features", lambda d: None)
+    monkeypatch.setattr(tg, "prepare_data", lambda *a: (x, prep))
+    monkeypatch.setattr(tu, "GBT_SPACE", {**tu.GBT_SPACE, "maxIter": ("int", 1, 2), "maxDepth": ("int", 2, 2)})
+    monkeypatch.setattr(md, "fit_boosting", lambda d, t: calls.append("boosting") or boost(d, t, 2, 2))
+    monkeypatch.setattr(md, "fit_forest", lambda d, t, *size: calls.append(("forest", *size)) or forest(d, t, 3, 2))
+
+    def searched(train, target, kind="boosting", n_trials=25, n_folds=3):
+        calls.append((kind, n_trials, n_folds))
+        return search(train, target, kind, 1, 2)
+
+    monkeypatch.setattr(tu, "random_search", searched)
+    qm.m12(spark, "").collect()
+    assert calls == [("boosting", 25, 3)]
+    calls.clear()
+    assert [r["stage"] for r in qm.m14(spark, "").collect()] == ["logistic_regression", "random_forest", "boosting", "ensemble"]
+    assert ("boosting", 25, 3) in calls and ("forest",) in calls and ("forest", 60, 8) in calls
+    calls.clear()
+    qm.m13(spark, "").collect()
+    assert calls.count("boosting") == 4
+    got = qm.e17(spark, "").collect()
+    assert {r["model"] for r in got} == {"logistic_regression", "random_forest", "boosting", "ensemble"}
