@@ -10,8 +10,8 @@ benchmark items; a match says at which shift the two texts may agree. At each
 such (document, item, shift) the hit is extended: the words are compared in
 place and every item window that agrees in full marks its words.
 
-Fingerprints compare words after full Unicode lower-casing, a coarser
-equality that loses nothing; the extension compares with A-Z lower-cased.
+Fingerprints and the extension compare words with A-Z lower-cased. Full Unicode
+lower-casing would lose hits: it depends on what surrounds a word (final sigma).
 
 An item of fewer than ``WINDOW`` words is a single window. Its first
 ``min(GRAM, length)`` words are looked up among the documents' runs of that
@@ -43,7 +43,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column, exact: bool = True) -> Column:
-    """Words of a text; ``exact`` folds A-Z alone, else all letters (as many words)."""
+    """Words of a text; ``exact`` folds A-Z alone, else all letters (as many words, to be counted only)."""
     low = F.translate(text, UPPER, LOWER) if exact else F.lower(text)
     # A-Z lie between words, so folding comes first. Splitting is far cheaper
     # than extracting, which copies the text for every match.
@@ -70,11 +70,10 @@ def _fingerprints(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item, w, u): words by both foldings of every item text that has words.
+    """(item, w): words of every item text.
     ``item`` is the item_id as text with a digest, for ids that come with several texts."""
     item = F.struct(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("x"))
-    return (benchmark.select(item.alias("item"), words(F.col("text")).alias("w"), words(F.col("text"), False).alias("u"))
-            .distinct())
+    return (benchmark.select(item.alias("item"), words(F.col("text")).alias("w")).distinct())
 
 
 def _key() -> Column:
@@ -86,17 +85,17 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Extended hits: (key, item, place), a row per document word (0-based) that an
     occurrence of an item window covers."""
     items = stored(_items(benchmark), "items").filter(F.size("w") > 0)
-    text = docs.select(_key(), words(F.col("text"), False).alias("u"))
+    text = docs.select(_key(), words(F.col("text")).alias("w"))
 
-    long_items = items.filter(F.size("w") >= WINDOW).select("item", _grams(F.col("u"), GRAM).alias("g"))
+    long_items = items.filter(F.size("w") >= WINDOW).select("item", _grams(F.col("w"), GRAM).alias("g"))
     bench = _fingerprints(long_items, ["item"]).distinct()
-    found = [_candidates(_fingerprints(text.select("key", _grams(F.col("u"), GRAM).alias("g")), ["key"]), bench)]
+    found = [_candidates(_fingerprints(text.select("key", _grams(F.col("w"), GRAM).alias("g")), ["key"]), bench)]
 
     short = items.filter(F.size("w") < WINDOW)
     for k in sorted(r[0] for r in short.select(F.least(F.size("w"), F.lit(GRAM))).distinct().collect()):
         own = (short.filter(F.least(F.size("w"), F.lit(GRAM)) == k)
-               .select("item", F.get(_grams(F.col("u"), k), F.lit(0)).alias("fp"), F.lit(0).alias("pos")))
-        runs = text.select("key", F.posexplode(_grams(F.col("u"), k)).alias("pos", "fp"))
+               .select("item", F.get(_grams(F.col("w"), k), F.lit(0)).alias("fp"), F.lit(0).alias("pos")))
+        runs = text.select("key", F.posexplode(_grams(F.col("w"), k)).alias("pos", "fp"))
         found.append(_candidates(runs, own))
 
     pairs = found[0]

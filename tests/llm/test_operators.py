@@ -202,6 +202,17 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.keep_clean(docs, bench).count() == docs.count() - 5
 
 
+def test_decontaminate_final_sigma(spark):
+    # Lower-casing a whole text makes the last letter of the word a final sigma or not, by what follows.
+    own = ["\u039f\u0394\u039f\u03a3", *WORDS[:3], "\u03a6\u03a9\u03a3", *WORDS[3:6], "\u03a4\u039f\u03a3", "\u0391"]
+    bench = spark.createDataFrame([(1, " ".join(own)), (2, "\u039d\u039f\u03a3 \u0391")], "item_id long, text string")
+    docs = spark.createDataFrame(rows([(1, "x " + ".".join(own) + " y"), (2, " ".join(own)), (3, "\u039d\u039f\u03a3.\u0391"),
+                                       (4, " ".join(own).lower())]), DOCS)
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (10, 1), 2: (10, 1), 3: (2, 1), 4: (0, 0)}
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()] == [4]
+
+
 def test_packing(docs, none):
     got = packing.pack(packing.pieces(docs, ["doc_id"], seq=64, with_ids=True), seq=64, group=8).collect()
     assert sum(r["length"] for r in got if r["doc_id"] == 1) == 1
