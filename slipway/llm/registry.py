@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from slipway.llm import (
-    annsearch, chat, ctw, decontaminate, linededup, ngramjoin, packing, quality, resharding, toxicity)
+    annsearch, chat, ctw, decontaminate, linededup, ngramjoin, packing, quality, resharding, spelling, toxicity)
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_two_fit": packing.op9_two_fit,
     "op10_vantage_point": annsearch.op10_vantage_point,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES = {
     "op1_chat_format": chat.OP1_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
