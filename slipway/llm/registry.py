@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from slipway.llm import (
-    annsearch, chat, ctw, decontaminate, linededup, ngramjoin, packing, quality, resharding, spelling, toxicity)
+    annsearch, chat, crf, ctw, decontaminate, linededup, maxsketch, ngramjoin, packing, quality, resharding, spelling,
+    toxicity)
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +17,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_two_fit": packing.op9_two_fit,
     "op10_vantage_point": annsearch.op10_vantage_point,
+    "op11_max_sketch": maxsketch.op11_max_sketch,
+    "op12_crf_language": crf.op12_crf_language,
     "op13_spelling": spelling.op13_spelling,
 }
 
@@ -23,5 +26,6 @@ ORACLES = {
     "op1_chat_format": chat.OP1_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op11_max_sketch": maxsketch.OP11_SQL,
     "op13_spelling": spelling.OP13_SQL,
 }
