@@ -404,8 +404,8 @@ def train(docs: DataFrame, modulus: int = 4, held: int = 2) -> Model:
 def _labelled(model: Model, col: pa.Array):
     """Each group of texts: first row, row offsets into its code points and words, the words' starts, ends, posteriors."""
     for r0, begin, first, chars, starts, ends, h in words(col):
-        if not len(h):
-            yield r0, begin, first, starts, ends, np.zeros((0, len(model.langs)))
+        if not len(h) or not model.langs:
+            yield r0, begin, first, starts, ends, np.zeros((len(h), len(model.langs)))
             continue
         types, at, word = np.unique(h, return_index=True, return_inverse=True)
         e = model.emit(Features(chars, starts[at], ends[at]), model.known(types))[word]
