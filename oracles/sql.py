@@ -933,3 +933,127 @@ reg("d02_population_stability", *FT_ALL, REFCUR,
     """pp2 as (select feature, greatest(nr * 1.0 / sum(nr) over (partition by feature), 1e-4) as pr,
                greatest(nc * 1.0 / sum(nc) over (partition by feature), 1e-4) as pc from pp)""",
     "select feature, round(sum((pc - pr) * ln(pc / pr)), 6) as psi from pp2 group by 1")
+
+
+# ---------------------------------------------------------------- stored results, refusals, full serving results
+reg("m08_smote_counts", *FT_ALL, SPLITPTS, BLOCK,
+    "tw as (select is_late_delivery as label, count(*) as c from blk where block = 'train' group by 1)",
+    "select label, (select max(c) from tw) as n_rows, (select max(c) from tw) - c as n_synthetic from tw")
+reg("s20_artifact_roundtrip", *FT_ALL, SPLITPTS, BLOCK,
+    "select count(*) as n_rows, 0 as n_different from blk where block = 'test'")
+reg("s12_load_tables", "select table_name, n_rows, 2 as n_versions from (" + " union all ".join(
+    f"select '{t}' as table_name, count(*) as n_rows from {v}" for t, v in (
+        ("sellers", "v_sellers"), ("customers", "v_customers"), ("products", "v_products"), ("orders", "v_orders"),
+        ("order_items", "v_order_items"), ("reviews", "v_reviews"), ("external_signals", "v_signals"))) + ")")
+reg("s01_seller_csv_scan", "select seller_id, seller_zip, seller_state from v_sellers")
+reg("s09_table_store_steps", SC, "no as (select count(*) as n from v_orders)",
+    "ns as (select count(*) as n from v_signals)",
+    "th0 as (select count(distinct t) as n from (select unnest(quantile_cont(score, [" + ", ".join(f"{i / 100}" for i in range(1, 100)) + "])) as t from sc0))",
+    """select 'S16 create all' as step, 8 as n_rows union all select 'S09 replace then append', 2 * n from no
+       union all select 'S07 limit', 10 union all select 'S08 select', n from no union all select 'S13 snapshot', 2 * n from no
+       union all select 'S06 files present', 1 union all select 'S11 csv to table', n from ns
+       union all select 'S19 cost curve', n from th0 union all select 'S10 truncate', 0""")
+reg("s14_feature_store", *FT_ALL,
+    "fm as (select strftime(as_of_date, '%Y-%m') as month, count(*) as n_rows, sum(promised_days) as p from ft group by 1)",
+    sel(["month", "n_rows", r("p", "promised_days"), "case when month = (select max(month) from fm) then 1 else 0 end as rewritten"], "from fm"))
+reg("p02_category_translation",
+    """select product_id, case when category is not null and right(category, 1) <> '3' then 'group_' || lower(replace(category, '#', '_'))
+              else category end as category from v_products""")
+reg("p17_fix_types", "select o_orderkey, case when o_orderkey % 7 = 0 then null else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as day, "
+    "cast(o_custkey as varchar) as customer from orders")
+reg("s18_news_payloads",
+    "dn as (select *, cast(floor(doc_id / 20) as bigint) as payload_id, row_number() over (partition by cast(floor(doc_id / 20) as bigint) order by doc_id) - 1 as place from documents)",
+    """select payload_id, cast(place as integer) as place, source || ' ' || lang as title, sha256(text) as description_sha,
+              strftime(date '2024-01-01' + cast(doc_id % 365 as integer), '%Y-%m-%d') as published_at, source, 0 as bad
+       from dn where payload_id % 17 <> 3
+       union all select distinct payload_id, null, null, null, null, null, 1 from dn where payload_id % 17 = 3""")
+reg("s18_weather_payloads",
+    """select event_id as payload_id, case when event_id % 19 <> 4 and event_id % 11 <> 0 then event_type end as condition,
+              case when event_id % 19 <> 4 and event_id % 13 <> 0 then round(value, 6) end as wind_speed,
+              strftime(ts, '%Y-%m-%d') as fetched_at, case when event_id % 19 = 4 then 1 else 0 end as bad from events""")
+reg("s18_raw_observations", sel(["strftime(d, '%Y-%m-%d') as date", r("value")], "from v_prices"))
+reg("j11_realign_strict", *FT_ALL,
+    sel(["ft.order_id", "ft.seller_id", r("promised_days"), r("s.score", "score")],
+        "from ft join v_scores s on s.order_id = ft.order_id and s.seller_id = ft.seller_id"))
+_E11 = ORACLES["e11_model_comparison"]
+_AT = _E11.rindex("\nselect") + 1
+_E11_CTES, _E11_LAST = _E11[:_AT].rstrip(), _E11[_AT:]
+_LIFT = f"""{_E11_CTES},
+full11 as ({_E11_LAST}),
+lift11 as (select model, sum(pos / p * (cum_pos / cum_n)) / (max(p) * 1.0 / max(nt)) as pr_auc_lift from mc group by 1)
+"""
+ORACLES["e11_comparison_strict"] = _LIFT + "select full11.*, round(pr_auc_lift, 6) as pr_auc_lift from full11 join lift11 using (model)"
+ORACLES["x10_metrics_full"] = _LIFT + """select full11.*, round(pr_auc_lift, 6) as pr_auc_lift,
+  (select model from mrank order by pr_auc desc, model desc limit 1) as best_model from full11 join lift11 using (model)"""
+_A17 = [*NUMERIC_FT, "is_late_delivery"]
+reg("a17_correlation_matrix", *FT_ALL,
+    "cx as (select " + ", ".join(
+        f"{{'n': regr_count(cast({a} as double), cast({b} as double)), 'r': corr(cast({a} as double), cast({b} as double))}} as c{i}_{j}"
+        for i, a in enumerate(_A17) for j, b in enumerate(_A17)) + " from ft)",
+    " union all ".join(
+        f"select '{a}' as a, '{b}' as b, c{i}_{j}.n as n, case when isfinite(c{i}_{j}.r) then round(c{i}_{j}.r, 6) end as r from cx"
+        for i, a in enumerate(_A17) for j, b in enumerate(_A17)))
+reg("e14_isotonic_blocks", SC,
+    "g14 as (select round(score, 4) as s, count(*) as n, sum(y) as p from sc0 group by 1)",
+    "c14 as (select s, n, p, row_number() over (order by s) as i, sum(n) over (order by s) as cn, sum(p) over (order by s) as cp from g14)",
+    "m14 as (select a.i as a, b.i as b, (b.cp - a.cp + a.p) * 1.0 / (b.cn - a.cn + a.n) as m from c14 a join c14 b on b.i >= a.i)",
+    "lo14 as (select a, b as i, min(m) over (partition by a order by b desc) as v from m14)",
+    "select s as score, n, round(max(v), 6) as calibrated from lo14 join c14 using (i) group by s, n")
+reg("e16_reliability_curves", SC,
+    "cc0 as (select *, score * score as cal from sc0)",
+    """cbin as (select *, cast(greatest(ceil((row_number() over (order by score, id) - 1) * 10.0 / greatest(count(*) over () - 1, 1)), 1) - 1 as integer) as b1,
+                    cast(greatest(ceil((row_number() over (order by cal, id) - 1) * 10.0 / greatest(count(*) over () - 1, 1)), 1) - 1 as integer) as b2 from cc0)""",
+    """select 'raw' as curve, b1 as bin, round(avg(score), 6) as mean_predicted, round(avg(cast(y as double)), 6) as observed_rate, count(*) as n from cbin group by b1
+       union all select 'calibrated', b2, round(avg(cal), 6), round(avg(cast(y as double)), 6), count(*) from cbin group by b2""")
+reg("x01_published_predictions", *ROLL_ALL, ATTR,
+    sel(["roll.seller_id", r("roll.raw", "raw"), r("roll.risk_score", "risk_score"), "n_orders", "risk_band", "'promise-formula' as model_name",
+         "strftime((select m from mx), '%Y-%m-%d %H:%M:%S') as predicted_at", "cast(k as integer) as rank", "feature", r("contribution")],
+        "from roll join tops on tops.seller_id = roll.seller_id where k <= 5"))
+reg("x07_explanation_drivers", *ROLL_ALL, ATTR,
+    sel(["roll.seller_id", r("roll.risk_score", "risk_score"), "risk_band", "cast(k as integer) as rank", "feature", r("contribution")],
+        """from roll join tops on tops.seller_id = roll.seller_id
+           where k <= 5 and (roll.seller_id = (select min(seller_id) from roll) or roll.seller_id = (select max(seller_id) from roll))"""))
+reg("x09_summary_full", *ROLL_ALL, STATE,
+    """h9 as (select least(cast(floor(risk_score * 20) as integer), 19) as bin, count(*) as c from roll where risk_score between 0 and 1 group by 1)""",
+    """select 'total' as section, 'all' as key, cast(count(*) as double) as value, round(avg(risk_score), 6) as extra from roll
+       union all select 'band', risk_band, count(*), null from roll group by risk_band
+       union all select 'histogram', cast(b as varchar), coalesce(c, 0), null from (select unnest(range(20)) as b) left join h9 on h9.bin = b
+       union all select 'state', state, count, round(avg_risk, 6) from st
+       union all select 'state_critical', state, critical_count, null from st""")
+reg("s21_run_log_versions", SC,
+    """lg as (select 'run-1' as run_id, * from sc0 where order_id % 2 = 0 union all select 'run-2', * from sc0)""",
+    """lm as (select run_id, 'promise' as model, y, score from lg union all select run_id, 'hashed', y, ((order_id * 7919 + seller_id * 31) % 1000) / 1e3 from lg
+       union all select run_id, 'inverse', y, 1.0 - score from lg)""",
+    "lgp as (select run_id, model, score, count(*) as n, sum(y) as pos from lm group by all)",
+    """lc as (select *, sum(n) over (partition by run_id, model order by score desc) as cum_n, sum(pos) over (partition by run_id, model order by score desc) as cum_pos,
+        sum(n) over (partition by run_id, model) as nt, sum(pos) over (partition by run_id, model) as p from lgp)""",
+    """lr as (select run_id, model, sum(pos / p * (cum_pos / cum_n)) as pr_auc, sum((n - pos) * (cum_pos - pos / 2.0)) / (max(p) * max(nt - p)) as roc_auc from lc group by all)""",
+    "lb as (select *, row_number() over (partition by run_id order by pr_auc desc, model desc) as k from lr)",
+    """select run_id, model, round(pr_auc, 6) as pr_auc, round(roc_auc, 6) as roc_auc,
+              case when k = 1 then cast(right(run_id, 1) as integer) end as version,
+              case when k = 1 and run_id = 'run-2' then 'Production' when k = 1 then 'Archived' end as stage from lb""")
+_T04 = ORACLES["t04_index_build"]
+_T04_AT = _T04.rindex("select id || '_chunk'")
+ORACLES["t04_vector_index"] = _T04[:_T04_AT].rstrip() + """,
+ck4 as (""" + _T04[_T04_AT:] + r"""),
+tk4 as (select chunk_id, source, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from ck4),
+tc4 as (select chunk_id, source, term, count(*) as tf from tk4 group by all),
+nd4 as (select count(*) as n from ck4 where source = 'prediction'),
+ts4 as (select term, count(*) as df, sum(tf) as ttf from tc4 where source = 'prediction' group by 1),
+vc4 as (select term, ln((1.0 + n) / (1.0 + df)) + 1.0 as idf from ts4, nd4 where df >= 2 and df <= 0.6 * n order by ttf desc, term limit 4096),
+tw4 as (select chunk_id, count(*) as n_terms, sum(tf * idf) / sqrt(sum(tf * idf * tf * idf)) as weight_sum from tc4 join vc4 using (term) group by 1)
+select ck4.chunk_id, ck4.text, ck4.seller_id, ck4.source, case when ck4.source = 'prediction' then roll.risk_band end as risk_band,
+       coalesce(n_terms, 0) as n_terms, round(coalesce(weight_sum, 0), 6) as weight_sum
+from ck4 left join tw4 using (chunk_id) left join roll on cast(roll.seller_id as varchar) = ck4.seller_id"""
+reg("t08_grounded_prompts",
+    "ex0 as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)",
+    "cen as (select label as query_id, list(a order by i) as qv from (select label, i, avg(v) as a from ex0 group by 1, 2) group by 1)",
+    NN.format(w=""),
+    """ctx as (select query_id, count(*) as n_sources, string_agg('- ' || d.text, chr(10) || chr(10) order by rank) as context
+              from nn join documents d on d.doc_id = nn.vec_id where rank <= 4 and query_id <> 3 group by 1)""",
+    """select c.query_id, coalesce(n_sources, 0) as n_sources, case when context is null then 0 else 1 end as grounded,
+              case when context is null then 'No relevant information found in the knowledge base for this question.'
+                   else 'Answer the question about supplier risk from the context below only. If the context does not answer it, say so.'
+                        || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10)
+                        || 'Question: What is known about group ' || c.query_id || '?' end as prompt
+       from cen c left join ctx using (query_id)""")

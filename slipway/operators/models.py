@@ -3,18 +3,22 @@
 The feature matrix is one ``VectorAssembler`` over the fitted numeric
 expressions (M04) and one-hot indicator expressions (M05, unknown level ->
 all zeros); names are kept in matrix order for attribution. Estimators are
-Spark's distributed ones; calibration uses Spark's isotonic regression.
+Spark's distributed ones but for boosted trees (``boosting``) and isotonic calibration (``isotonic``).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+import json
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slipway.operators import boosting as gb
+from slipway.operators import isotonic as iso
 from slipway.operators import prep as pp
 
 # Estimator settings of the pipeline configuration.
@@ -22,6 +26,7 @@ LR_C, LR_MAX_ITER = 1.0, 1000
 RF_TREES, RF_DEPTH = 300, 10
 GBT_ITER, GBT_DEPTH, GBT_STEP = 300, 6, 0.05
 SEED = 42
+FITS_AT_ONCE = 4
 
 
 class Prepared:
@@ -46,6 +51,18 @@ class Prepared:
         return va.transform(x).select(*kept, "features")
 
 
+    def save(self, path: str) -> str:
+        """The fitted preparation as one row of JSON."""
+        row = (json.dumps(self.num_fit), json.dumps(self.cat_fit))
+        SparkSession.getActiveSession().createDataFrame([row], "num string, cat string").write.mode("overwrite").parquet(path)
+        return path
+
+    @classmethod
+    def load(cls, path: str) -> "Prepared":
+        r = SparkSession.getActiveSession().read.parquet(path).first()
+        return cls(json.loads(r["num"]), json.loads(r["cat"]))
+
+
 def fit_prep(train: DataFrame, target: str) -> Prepared:
     num, cat = pp.feature_columns(train, target, extra_exclude=["_rid"])
     return Prepared(pp.fit_numeric(train, num), pp.fit_categorical(train, cat))
@@ -74,28 +91,21 @@ def fit_forest(train: DataFrame, target: str, trees: int = RF_TREES, depth: int
 
 def fit_boosting(train: DataFrame, target: str, iters: int = GBT_ITER, depth: int = GBT_DEPTH,
                  step: float = GBT_STEP):
-    """Gradient-boosted trees with class weights."""
-    gbt = GBTClassifier(featuresCol="features", labelCol=target, weightCol="weight", maxIter=iters,
-                        maxDepth=depth, stepSize=step, seed=SEED)
-    return gbt.fit(_weighted(train, target))
+    """Gradient-boosted trees with class weights (``operators.boosting``)."""
+    return gb.fit(train, target, {"maxIter": iters, "maxDepth": depth, "stepSize": step})
 
 
 def score(model, df: DataFrame, name: str = "score") -> DataFrame:
-    if isinstance(model, StackedModel):
+    """P(y=1) as a double column (Spark's own models: Arrow-free, JVM-side vector access)."""
+    if hasattr(model, "transform_scores"):
         return model.transform_scores(df, name)
-    """P(y=1) as a double column (Arrow-free, JVM-side vector access)."""
     return model.transform(df).withColumn(name, vector_to_array("probability")[1]) \
                 .drop("rawPrediction", "probability", "prediction")
 
 
 def fit_isotonic(calib: DataFrame, target: str, score_col: str = "score"):
-    """Isotonic calibration (pools ties, linear interpolation, clips at
-    the ends); needs >= 200 rows and both classes."""
-    c = calib.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(target).alias("k")).first()
-    if c["n"] < 200 or c["k"] < 2:
-        raise ValueError("calibration needs at least 200 rows and both classes")
-    iso = IsotonicRegression(featuresCol=score_col, labelCol=target, predictionCol="calibrated")
-    return iso.fit(calib.withColumn(target, F.col(target).cast("double")))
+    """Isotonic calibration (``operators.isotonic``); needs >= 200 rows and both classes."""
+    return iso.fit_isotonic(calib, target, score_col)
 
 
 def fit_platt(calib: DataFrame, target: str, score_col: str = "score"):
@@ -124,18 +134,21 @@ def fit_stacking(train: DataFrame, target: str, base_fitters: dict, n_splits: in
     from slipway.operators.split import forward_folds
     from slipway.session import cut_lineage
     f = cut_lineage(forward_folds(train, n_splits, order_col, id_col))
+    los = {i: f.filter(F.col("test_fold") == i).agg(F.min("row_idx")).first()[0] for i in range(1, n_splits + 1)}
+    parts = {**{i: f.filter(F.col("row_idx") < lo) for i, lo in los.items()}, "all": f}
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:  # fits of different folds and bases do not wait for each other
+        fits = {(i, n): pool.submit(fit, part, target) for i, part in parts.items() for n, fit in base_fitters.items()}
+        fitted = {k: v.result() for k, v in fits.items()}
     oof = None
-    for i in range(1, n_splits + 1):
-        lo = f.filter(F.col("test_fold") == i).agg(F.min("row_idx")).first()[0]
-        past, fold = f.filter(F.col("row_idx") < lo), f.filter(F.col("test_fold") == i)
-        scored = fold.select(id_col, target, "features")
-        for name, fit in base_fitters.items():
-            scored = score(fit(past, target), scored, f"s_{name}")
+    for i in los:
+        scored = f.filter(F.col("test_fold") == i).select(id_col, target, "features")
+        for name in base_fitters:
+            scored = score(fitted[i, name], scored, f"s_{name}")
         oof = scored if oof is None else oof.unionByName(scored)
     names = [f"s_{n}" for n in base_fitters]
     meta_in = VectorAssembler(inputCols=names, outputCol="features").transform(oof.drop("features"))
-    meta = fit_logistic(meta_in, target)
-    bases = {n: fit(f, target) for n, fit in base_fitters.items()}
+    meta = fit_logistic(cut_lineage(meta_in), target)
+    bases = {n: fitted["all", n] for n in base_fitters}
     return StackedModel(bases, meta, names)
 
 
@@ -176,12 +189,12 @@ class StackedModel:
 
 # ------------------------------------------------------------------ artifacts (S20) and checks
 _KINDS = {"logistic_regression": "LogisticRegressionModel", "random_forest": "RandomForestClassificationModel",
-          "boosting": "GBTClassificationModel"}
+          "boosting": "BoostedTrees"}
 
 
 def save_model(model, path: str) -> str:
     """Persist a fitted model (Spark's own format, task-parallel)."""
-    if isinstance(model, StackedModel):
+    if isinstance(model, (StackedModel, gb.BoostedTrees)):
         model.save(path)
     else:
         model.write().overwrite().save(path)
@@ -192,6 +205,8 @@ def load_model(kind: str, path: str):
     from pyspark.ml import classification as C
     if kind == "ensemble":
         return StackedModel.load(path)
+    if kind == "boosting":
+        return gb.BoostedTrees.load(path)
     return getattr(C, _KINDS[kind]).load(path)
 
 

@@ -194,15 +194,22 @@ def assemble_answers(hits: DataFrame, texts: DataFrame, id_col: str, questions:
                       F.col("context").isNotNull().cast("int").alias("grounded"))
 
 
-def manifest(backend: str, dim: int, spark) -> DataFrame:
-    """One-row (backend, dim) record of the index vector space."""
-    return spark.createDataFrame([(backend, int(dim))], "backend string, dim int")
-
-
-def check_manifest(recorded: DataFrame, backend: str, dim: int) -> None:
-    r = recorded.first()
-    if r is not None and (r["backend"] != backend or r["dim"] != dim):
-        raise RuntimeError(f"index built with {r['backend']}/{r['dim']}, query uses {backend}/{dim}: rebuild the index")
+# The instruction above the context, and the answer without one.
+PROMPT = ("Answer the question about supplier risk from the context below only. "
+          "If the context does not answer it, say so.")
+NOTHING = "No relevant information found in the knowledge base for this question."
+
+
+def grounded_prompts(hits: DataFrame, texts: DataFrame, id_col: str, questions: DataFrame) -> DataFrame:
+    """(query_id, prompt, n_sources, grounded). The prompt holds the retrieved passages as bullets in order of
+    rank and the question; a question without a hit gets the "nothing found" answer instead."""
+    h = hits.join(texts.select(id_col, "text"), id_col)
+    ctx = h.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("p"))  # k passages
+    context = F.array_join(F.transform("p", lambda x: F.concat(F.lit("- "), x["text"])), "\n\n")
+    prompt = F.concat(F.lit(f"{PROMPT}\n\nContext:\n"), context, F.lit("\n\nQuestion: "), F.col("question"))
+    return questions.join(ctx, "query_id", "left").select(
+        "query_id", F.when(F.col("p").isNotNull(), prompt).otherwise(F.lit(NOTHING)).alias("prompt"),
+        F.coalesce(F.size("p"), F.lit(0)).alias("n_sources"), F.col("p").isNotNull().cast("int").alias("grounded"))
 
 
 

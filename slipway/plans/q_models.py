@@ -55,6 +55,50 @@ def m11(spark, sf):
     return report(_eval(md.score(m, x.filter(F.col("block") == "test"))))
 
 
+@register("m11_boosting_oversampled")
+def m11s(spark, sf):
+    """M11, second variant: plain boosted trees (no class weight) on the train block with SMOTE rows."""
+    from slipway.operators import boosting as gb
+    from slipway.plans.training import oversampled
+    x, _ = _blocks(dom(spark, sf))
+    m = gb.fit(oversampled(x, TARGET), TARGET, pos_weight=1.0)
+    return report(_eval(md.score(m, x.filter(F.col("block") == "test"))))
+
+
+@register("m08_smote_counts")
+def m08(spark, sf):
+    """Rows and new rows per class of the oversampled train block."""
+    from slipway.plans.training import oversampled
+    x, _ = _blocks(dom(spark, sf))
+    return report(oversampled(x, TARGET).groupBy(F.col(TARGET).cast("int").alias("label")).agg(
+        F.count("*").alias("n_rows"), F.sum(F.col("synthetic").cast("long")).alias("n_synthetic")))
+
+
+@register("s20_artifact_roundtrip")
+def s20(spark, sf):
+    """Preparation, model and calibrator saved, loaded and applied: rows scored and rows that differ."""
+    import uuid
+    from slipway.operators.isotonic import IsotonicFit
+    from slipway.session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artifacts/{uuid.uuid4().hex}"
+    b = sp.purged_temporal_split(stored_features(dom(spark, sf)), 0.2, 0.1, 30)
+    prep = md.fit_prep(b.filter(F.col("block") == "train"), TARGET)
+    x = cut_lineage(prep.transform(b.filter(F.col("block").isNotNull()), keep=("order_id", "seller_id", "block", "_rid")))
+    model = md.fit_logistic(x.filter(F.col("block") == "train"), TARGET)
+    cal = md.fit_isotonic(md.score(model, x.filter(F.col("block") == "calib")), TARGET)
+    prep.save(f"{root}/prep"), md.save_model(model, f"{root}/model"), cal.save(f"{root}/calibrator")
+
+    def scored(p, m, c):
+        t = p.transform(b.filter(F.col("block") == "test"), keep=("_rid",))
+        return c.transform(md.score(m, t)).select("_rid", "score", "calibrated")
+
+    one = scored(prep, model, cal)
+    two = scored(md.Prepared.load(f"{root}/prep"), md.load_model("logistic_regression", f"{root}/model"),
+                 IsotonicFit.load(f"{root}/calibrator")).select("_rid", F.col("score").alias("s2"), F.col("calibrated").alias("c2"))
+    same = F.col("score").eqNullSafe(F.col("s2")) & F.col("calibrated").eqNullSafe(F.col("c2"))
+    return report(one.join(two, "_rid", "left").agg(F.count("*").alias("n_rows"), F.count_if(~same).alias("n_different")))
+
+
 @register("e14_isotonic_calibration")
 def e14(spark, sf):
     x, _ = _blocks(dom(spark, sf))
@@ -151,9 +195,12 @@ def u04(spark, sf):
         xx = prep.transform(sub, keep=("block", "_rid"))
         m = md.fit_boosting(xx.filter(F.col("block") == "train"), TARGET)
         s = md.score(m, xx.filter(F.col("block") == "test"))
-        r = me.ranking_metrics(s.withColumnRenamed(TARGET, "y")).first()
-        out.append((name, len(cols), float(r["pr_auc"]), float(r["roc_auc"])))
-    return report(spark.createDataFrame(out, "variant string, n_columns int, pr_auc double, roc_auc double"))
+        s = cut_lineage(s.withColumnRenamed(TARGET, "y").withColumnRenamed("_rid", "id"))
+        r = me.ranking_metrics(s).first()
+        c = me.top_k_capture(s, (0.10,)).first()
+        out.append((name, len(cols), float(r["pr_auc"]), float(r["roc_auc"]), float(r["ks_statistic"]), float(c["capture"])))
+    return report(spark.createDataFrame(out, "variant string, n_columns int, pr_auc double, roc_auc double, "
+                                             "ks_statistic double, capture_at_10pct double"))
 
 
 def _tree_attrib(d):

@@ -50,5 +50,5 @@ def dom(spark: SparkSession, sf_dir: str) -> Domain:
 
 # import the query modules so they register themselves
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from slipway.plans import q_core, q_eval, q_models, q_panel, q_text  # noqa: F401
+    from slipway.plans import q_core, q_eval, q_models, q_panel, q_stores, q_text  # noqa: F401
     return dict(REGISTRY)
