@@ -15,6 +15,10 @@ from slipway.session import ensure_checkpoint_dir
 # Rows in one Arrow batch. A batch is the unit of memory of every Python
 # step here, and documents can be long, so it is far below Spark's default.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
+
+# Bytes of text that are split into words and hashed at a time.
+PIECE = 1 << 20
 
 # Stands for a null id where a key must not be null.
 NO_ID = -(1 << 63)
@@ -25,6 +29,7 @@ U64 = np.uint64
 def prepare(spark: SparkSession) -> None:
     """Session settings the Python steps rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once into the shared checkpoint folder and read back.
 
@@ -95,6 +108,27 @@ def spans(data: np.ndarray, offs: np.ndarray, inside: np.ndarray):
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def pieces(data: np.ndarray, offs: np.ndarray, inside: np.ndarray, limit: int = PIECE):
+    """(first row, bytes, row offsets) of stretches of about ``limit`` bytes that cut no run of ``inside``."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + limit)
+        if b < n:
+            free = np.flatnonzero(~inside[data[a:b]])
+            c = max(a + int(free[-1]) + 1 if len(free) else a, int(offs[np.searchsorted(offs, b, "right") - 1]))
+            while c <= a:  # one run longer than the limit
+                to = min(n, b + limit)
+                free = np.flatnonzero(~inside[data[b:to]])
+                ends = [b + int(free[0]) + 1] if len(free) else []
+                border = int(offs[np.searchsorted(offs, b, "left")])
+                c = min([*ends, border]) if ends or border <= to or to == n else a
+                b = to
+            b = c
+        r0, r1 = int(np.searchsorted(offs, a, "right")) - 1, int(np.searchsorted(offs, b, "left"))
+        yield r0, data[a:b], np.clip(offs[r0:r1 + 1], a, b) - a
+        a = b
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Bit mixer over uint64 (wraps)."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)

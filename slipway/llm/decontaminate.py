@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipway.llm.common import stored, table
+from slipway.llm.common import free_name, stored, table
 
 WINDOW = 10
 GRAM = 5
@@ -147,9 +147,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item window occurs, all their columns kept."""
-    names = docs.columns
-    bad = hits(docs, benchmark).select(F.col("key").alias("_key")).distinct()
-    return docs.join(bad, _key().eqNullSafe(F.col("_key")), "left_anti").select(*names)
+    name = free_name(docs, "key")
+    bad = hits(docs, benchmark).select(F.col("key").alias(name)).distinct()
+    return docs.join(bad, _key().eqNullSafe(F.col(name)), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

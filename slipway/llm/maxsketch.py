@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipway.llm.common import BYTE_VALUES_LOWER, byte_set, prepare, span_hashes, spans, stored, table, utf8_arrays
+from slipway.llm.common import (
+    BYTE_VALUES_LOWER, PIECE, byte_set, pieces, prepare, span_hashes, spans, stored, table, utf8_arrays)
 
 TOP = 50
 LOAD = 16
 LEAST_BITS = 6
 BLOCK = 256  # items of a pass
-PIECE = 1 << 20  # bytes split into terms at a time
 ENTRIES = 1 << 17  # sketch entries looked up at a time
 ROWS = 64  # documents scored between two looks at the threshold
 HELD = 1 << 16  # scores held before they are cut to the best
@@ -60,27 +60,6 @@ def _steps() -> np.ndarray:
 STEPS = _steps()
 
 
-def pieces(data: np.ndarray, offs: np.ndarray, inside: np.ndarray, limit: int):
-    """(first row, bytes, row offsets) of stretches of about ``limit`` bytes that cut no run of ``inside``."""
-    a, n = 0, len(data)
-    while a < n:
-        b = min(n, a + limit)
-        if b < n:
-            free = np.flatnonzero(~inside[data[a:b]])
-            c = max(a + int(free[-1]) + 1 if len(free) else a, int(offs[np.searchsorted(offs, b, "right") - 1]))
-            while c <= a:  # one run longer than the limit
-                to = min(n, b + limit)
-                free = np.flatnonzero(~inside[data[b:to]])
-                ends = [b + int(free[0]) + 1] if len(free) else []
-                border = int(offs[np.searchsorted(offs, b, "left")])
-                c = min([*ends, border]) if ends or border <= to or to == n else a
-                b = to
-            b = c
-        r0, r1 = int(np.searchsorted(offs, a, "right")) - 1, int(np.searchsorted(offs, b, "left"))
-        yield r0, data[a:b], np.clip(offs[r0:r1 + 1], a, b) - a
-        a = b
-
-
 def _reduce(row, h, tf):
     order = np.lexsort((h, row))
     row, h, tf = row[order], h[order], tf[order]

@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipway.llm.common import (
-    BYTE_VALUES_LOWER, NO_ID, SPACE, mix64, prepare, span_hashes, spans, stored, table, utf8_arrays)
+    BYTE_VALUES_LOWER, NO_ID, SPACE, free_name, mix64, pieces, prepare, span_hashes, spans, stored, table, utf8_arrays)
 
 WORDS = 5
 PERCENT = 75
@@ -66,7 +66,9 @@ ID_ROWS = 1 << 19
 ORDER_BITS = 20
 
 # Pairs that a task adds up before it hands them on.
-PAIR_BLOCK = 1 << 20
+PAIR_BLOCK = 1 << 18
+# Shingles among which a task looks for repeats at a time.
+STRETCH = 1_000_000
 
 # Classes and shingles in a block of rows of the product within a component, about.
 BLOCK_CLASSES = 256
@@ -88,9 +90,13 @@ def min_overlap(a, b):
 def shingle_sets(col) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows, concatenated, and row offsets."""
     data, offs = utf8_arrays(col)
-    starts, ends, first = spans(data, offs, ~SPACE)
-    words = span_hashes(data, starts, ends, BYTE_VALUES_LOWER)
-    n = np.diff(first)
+    hashed, n = [np.zeros(0, np.uint64)], np.zeros(len(offs) - 1, np.int64)
+    for r0, d, o in pieces(data, offs, ~SPACE):  # the bytes of a long text are never all at work at once
+        starts, ends, at = spans(d, o, ~SPACE)
+        hashed.append(span_hashes(d, starts, ends, BYTE_VALUES_LOWER))
+        n[r0:r0 + len(o) - 1] += np.diff(at)
+    words = np.concatenate(hashed)
+    first = np.concatenate([[0], np.cumsum(n)])
     m = len(words)
     sh = np.zeros(m, np.uint64)
     for j in range(WORDS):
@@ -156,7 +162,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.diff(ptr), pa.int64()), pa.array(d1.view(np.int64)),
                  pa.array(d2.view(np.int64)), none, none], ["id", "size", "d1", "d2", "cells", "n"])
-            if n_held > 4_000_000:
+            if n_held > STRETCH:
                 yield repeats()
                 held, n_held = [], 0
         if held:
@@ -653,7 +659,7 @@ def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` but for all documents of a group save its smallest id."""
-    names = docs.columns
-    gone = groups(docs).filter("id <> comp").select(F.col("id").alias("_gone")).distinct()
+    name = free_name(docs, "gone")
+    gone = groups(docs).filter("id <> comp").select(F.col("id").alias(name)).distinct()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.join(gone, key == F.col("_gone"), "left_anti").select(*names)
+    return docs.join(gone, key == F.col(name), "left_anti")

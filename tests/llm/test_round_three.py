@@ -277,3 +277,40 @@ def test_compare_all_short_strings():
     assert {w: sum(1 for a, _ in found if a == w) for w in words[:3]} == {
         w: sum(1 for v in words if v != w and (len(v) == len(w) and sum(x != y for x, y in zip(v, w)) == 1 or abs(len(v) - len(w)) == 1 and any(
             max(v, w, key=len)[:i] + max(v, w, key=len)[i + 1:] == min(v, w, key=len) for i in range(max(len(v), len(w)))))) for w in words[:3]}
+
+
+# ---------------------------------------------------------------- memory, names
+def test_a_long_text_keeps_the_shingles_small():
+    """One text of 20 MB, shingled in a process of its own: below 400 MB, imports included."""
+    import subprocess
+    import sys
+    code = ("import resource, numpy as np, pyarrow as pa\n"
+            "from slipway.llm import ngramjoin\n"
+            "w = np.random.default_rng(0).integers(97, 123, 20_000_000).astype(np.uint8); w[::7] = 32\n"
+            "col = pa.array([w.tobytes().decode()]); del w\n"
+            "sets, ptr = ngramjoin.shingle_sets(col)\n"
+            "print(len(sets), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)")
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert n > 2_000_000 and mb < 400
+
+
+def test_shingles_do_not_depend_on_pieces(monkeypatch):
+    from slipway.llm import common, ngramjoin
+    texts = pa.array(["a b c d e f g " * 30, "", None, "x y", "one", "w " * 100 + "long" * 80])
+    want = ngramjoin.shingle_sets(texts)
+    for size in (1, 5, 64):
+        monkeypatch.setattr(ngramjoin, "pieces", lambda d, o, i, s=size: common.pieces(d, o, i, s))
+        for a, b in zip(ngramjoin.shingle_sets(texts), want):
+            assert np.array_equal(a, b)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from slipway.llm import decontaminate, ngramjoin
+    docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "one two three")])
+    for c in ("_key", "gone", "_gone", "KEY", "id", "comp"):
+        docs = docs.withColumn(c, F.lit(c))
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    kept = ngramjoin.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    clean = decontaminate.keep_clean(docs, bench)
+    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [1, 2]
