@@ -126,10 +126,12 @@ def e17(spark, sf):
     for name, m in models.items():
         s = md.score(m, te).select(F.lit(name).alias("model"), F.col("_rid").alias("id"), F.col(TARGET).alias("y"), "score")
         long = s if long is None else long.unionByName(s)
-    long = cut_lineage(long)
+    from slipway.operators.refusals import same_rows
+    long = same_rows(cut_lineage(long))
     r = me.ranking_metrics(long, part=["model"])
     c = me.top_k_capture(long, (0.10,), part=["model"]).select("model", F.col("capture").alias("capture_at_10pct"))
-    return report(r.join(c, "model").orderBy(F.desc("pr_auc")))
+    n = long.groupBy("model").agg((F.count("score") / F.lit(te.count())).alias("coverage"))  # of the block's rows
+    return report(r.join(c, "model").join(n, "model").orderBy(F.desc("pr_auc")))
 
 
 @register("x01_fitted_publish")

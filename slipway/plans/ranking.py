@@ -13,9 +13,10 @@ The primitives here keep the work distributed and the result exact:
    1-row / <= n_buckets-row results inlined as literals, so the final plan
    reads the checkpoint once (no join, no duplicated lineage). With a grouping
    key (``part``, e.g. one curve per model) they are small joined tables.
-2. ``row_numbers``: exact global row number by (score, id). Rows are first
-   collapsed to (score, id-block) counts, so a hot score (even a third of
-   all rows) never puts more than ``block`` raw rows into one window task.
+2. ``row_numbers``: exact global row number by (score, id). Rows are dealt to range
+   partitions of (group, score, id) and numbered where they lie; the partitions' counts
+   become offsets. The id is part of the range key, so one score that all rows
+   hold is spread over as many tasks as any other; ids may be of any type that sorts.
 3. ``quantiles_linear`` / ``quantile_nearest``: exact order statistics from
    prefix sums over value counts (heavy duplicates collapse in the partial
    aggregation); only the bucket holding a target rank is scanned for it.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from slipway.session import cut_lineage
 
 N_BUCKETS = 64
-ID_BLOCK = 1 << 16
+MAX_BUCKETS = 4096
+BUCKET_ROWS = 500_000  # rows of a bucket aimed at
 
 
 # ------------------------------------------------------------------ bucketing
@@ -72,6 +74,7 @@ def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Sequence
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     if not part:
         src = cut_lineage(df) if cut else df
+        n_buckets = max(n_buckets, min(MAX_BUCKETS, src.count() // BUCKET_ROWS))
         bounds = _bound_values(src, lead, n_buckets)
         b = src.withColumn("_bucket", _bucket_expr(lead, bounds, lead_desc))
         tot = {r["_bucket"]: r for r in b.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in sums]).collect()}
@@ -99,16 +102,34 @@ def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Sequence
 
 
 def row_numbers(df: DataFrame, score: str, id_col: str, desc: bool = True,
-                part: Sequence[str] = (), block: int = ID_BLOCK, name: str = "rn") -> DataFrame:
-    """Exact 1-based row number over (score desc|asc, id asc) within ``part``."""
+                part: Sequence[str] = (), block: int | None = None, name: str = "rn") -> DataFrame:
+    """Exact 1-based row number over (score desc|asc, id asc) within ``part``; null scores come last.
+
+    The rows are sorted into range partitions once, written to the checkpoint folder with
+    their place, and read back: the partitions stay as they are however often they are read. ``block``: rows
+    of a partition aimed at; without it the session's shuffle partitions decide. A group's rows in one
+    partition are a cell; what lies before a cell is a sum over the group's earlier cells, so a
+    group that holds most rows is joined in as many cells as it has partitions."""
     part = list(part)
-    d = df.withColumn("_blk", F.floor(F.col(id_col).cast("double") / block).cast("long"))
-    cells = d.groupBy(*part, score, "_blk").agg(F.count(F.lit(1)).alias("_cnt"))
-    cum = prefix_sums(cells, [(score, desc), ("_blk", False)], ["_cnt"], part, inclusive=False)
-    cum = cum.select(*part, score, "_blk", F.col("cum__cnt").alias("_before"))
-    j = d.join(cum, part + [score, "_blk"], "inner")
-    w = Window.partitionBy(*part, score, "_blk").orderBy(F.col(id_col).asc())
-    return j.withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_blk", "_before")
+    order = [*[F.col(c) for c in part], F.col(score).desc_nulls_last() if desc else F.col(score).asc_nulls_last(), F.col(id_col).asc()]
+    n = [max(1, -(-df.count() // block))] if block else []
+    sorted_ = df.repartitionByRange(*n, *order).sortWithinPartitions(*order)
+    marked = cut_lineage(sorted_.withColumn("_at", F.monotonically_increasing_id()))  # partition number << 33 | place
+    pid, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    if not part:
+        counts = {r["p"]: r["n"] for r in marked.groupBy(pid.alias("p")).agg(F.count("*").alias("n")).collect()}  # partitions
+        before, run = [], 0
+        for i in range(max(counts, default=-1) + 1):
+            before.append(run)
+            run += counts.get(i, 0)
+        offsets = F.array(*[F.lit(x).cast("long") for x in before]) if before else F.array().cast("array<bigint>")
+        return marked.withColumn(name, F.get(offsets, pid.cast("int")) + place + 1).drop("_at")
+    cells = marked.groupBy(*part, pid.alias("_pid")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    # a row per group and partition
+    earlier = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*part, "_pid", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    j = marked.withColumn("_pid", pid).join(cells, [*part, "_pid"])
+    return j.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_pid", "_first", "_before")
 
 
 # ------------------------------------------------------------------ quantiles (driver scalars)
