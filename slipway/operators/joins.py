@@ -1,12 +1,13 @@
 """Join operators Spark lacks natively, written as DataFrame compositions.
 
 ``asof_backward`` (J08): for each left row, the latest right row with the
-same key and right_ts <= left_ts. Skew-safe two-level form: both sides are
-unioned and split into (key, time-bucket) cells, so one hot key is spread
-over many tasks; the in-cell as-of is a window ``last(.., ignorenulls)``;
-rows with no right match inside their cell take the carry-in value from
-the per-(key, bucket) summaries (one row per cell, a small window).
-No inequality join, no per-row search, no cross product.
+same key and right_ts <= left_ts. Both sides are unioned and dealt to range
+partitions of (key, time), so a hot key, or one that is busy within a single
+day, is spread over as many tasks as its rows need; inside a partition the
+as-of is a window ``last(.., ignorenulls)``; rows before the partition's first
+match take the carry-in value from the (partition, key) summaries (one
+row per cell, a small window). No inequality join, no per-row search, no
+cross product.
 """
 
 from __future__ import annotations
@@ -16,37 +17,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slipway.session import cut_lineage
+
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
-                  values: Sequence[str], bucket_seconds: int = 86400) -> DataFrame:
+                  values: Sequence[str], bucket_seconds: int | None = None) -> DataFrame:
+    """``bucket_seconds`` has no use any more: partitions follow the rows, not the clock. A null key matches nothing."""
     values = list(values)
     lcols = left.columns
     sec = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    L = left.select(F.struct(*[F.col(c) for c in lcols]).alias("_l"), F.col(key).alias("_k"),
-                    sec(left_ts).alias("_t"), F.lit(1).alias("_side"),
-                    F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"))
+    row = F.struct(*[F.col(c) for c in lcols])
+    L = left.select(row.alias("_l"), F.col(key).alias("_k"), sec(left_ts).alias("_t"), F.lit(1).alias("_side"),
+                    F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"),
+                    F.xxhash64(*[F.col(c) for c in lcols]).alias("_h"))
     R = right.select(F.lit(None).cast(left.select(F.struct(*lcols)).schema[0].dataType).alias("_l"),
                      F.col(key).alias("_k"), sec(right_ts).alias("_t"), F.lit(0).alias("_side"),
-                     F.struct(*values).alias("_r"))
-    u = L.unionByName(R).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)).cast("long"))
-    # right sorts before left at equal timestamps: right_ts <= left_ts matches;
-    # of right rows with one timestamp the largest values win
-    w = (Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_r")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    local = u.withColumn("_loc", F.last("_r", ignorenulls=True).over(w))
-    # per-cell last right value, then carry it forward across the key's cells
-    cells = (u.filter(F.col("_side") == 0).groupBy("_k", "_b")
-              .agg(F.max_by("_r", F.struct("_t", "_r")).alias("_last")))
-    wc = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # cells of the left side that hold no right row still need the carry-in:
-    # the value is the last right cell strictly before the left cell
-    lcells = local.filter(F.col("_side") == 1).select("_k", "_b").distinct()
-    allc = (lcells.join(cells.select("_k", "_b"), ["_k", "_b"], "left_anti")
-                  .select("_k", "_b", F.lit(None).cast(cells.schema["_last"].dataType).alias("_last"))
-                  .unionByName(cells))
-    carry = allc.select("_k", "_b", F.last("_last", ignorenulls=True).over(wc).alias("_carry"))
-    lrows = local.filter(F.col("_side") == 1).join(carry, ["_k", "_b"], "left")
-    res = F.coalesce(F.col("_loc"), F.col("_carry"))
+                     F.struct(*values).alias("_r"), F.lit(0).cast("long").alias("_h"))
+    # right sorts before left at equal timestamps: right_ts <= left_ts matches; of right rows with one timestamp the
+    # largest values win; the hash spreads left rows of one key and time
+    order = ["_k", "_t", "_side", "_r", "_h"]
+    sorted_ = L.unionByName(R).repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = cut_lineage(sorted_.withColumn("_at", F.monotonically_increasing_id()))  # partition << 33 | place
+    u = marked.withColumn("_p", F.shiftright("_at", 33))
+    w = Window.partitionBy("_p", "_k").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    local = u.withColumn("_loc", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
+    # the last right row of every (partition, key) cell, carried on to the key's later cells: a row per cell
+    cells = u.groupBy("_p", "_k").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.col("_at"))).alias("_last"))
+    wc = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = cells.select("_p", "_k", F.last("_last", ignorenulls=True).over(wc).alias("_carry"))
+    lrows = local.join(carry, ["_p", "_k"], "left")
+    res = F.when(F.col("_k").isNotNull(), F.coalesce(F.col("_loc"), F.col("_carry")))
     return lrows.select(*[F.col(f"_l.{c}").alias(c) for c in lcols],
                         *[res[v].alias(v) for v in values])
 

@@ -3,16 +3,20 @@
 Whole texts are processed (no prefixes). Chunking is an array expression
 per row; TF-IDF is tokens -> (doc, term) counts -> document frequencies ->
 a bounded vocabulary (top ``max_features`` terms, a broadcast of at most
-that many rows) -> weights; nearest-neighbour search is a salted two-stage
-top-k, so no query's candidate set is ever one window task.
+that many rows) -> weights; nearest-neighbour search keeps the k best per
+query inside each task and merges those.
 """
 
 from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slipway.session import cut_lineage
 
@@ -23,6 +27,7 @@ MAX_FEATURES, MAX_DF, MIN_DF = 4096, 0.6, 2
 # token rule of the usual TF-IDF vectorizer, which is Unicode-aware).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 BROADCAST_MAX_QUERIES = 10_000
+QUERY_POSTINGS = 1 << 20  # terms of all queries that are sent at once
 
 
 def chunk_text(text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
@@ -142,32 +147,89 @@ def _in_batches(queries: DataFrame, n: int, search) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [search(queries.filter(batch == i)) for i in range(parts)])
 
 
+class _Best:
+    """The k least distances of each query so far, ties by id; memory stays near queries x k."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.floor = k, np.full(n_queries, np.inf)
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def add(self, ids: np.ndarray, distance: np.ndarray, first_query: int = 0) -> None:
+        """``distance`` (rows, queries); infinite where a row is no candidate."""
+        at = slice(first_query, first_query + distance.shape[1])
+        r, q = np.nonzero((distance <= self.floor[at]) & np.isfinite(distance))
+        self.held.append((q + first_query, distance[r, q], ids[r]))
+        self.size += len(r)
+        if self.size > 4 * len(self.floor) * self.k + (1 << 16):
+            self.cut()
+
+    def cut(self) -> tuple:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        q, d, ids = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, d, q))
+        q, d, ids = q[order], d[order], ids[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.floor)))[q]
+        last = rank == self.k - 1
+        self.floor[q[last]] = d[last]
+        keep = rank < self.k
+        self.held, self.size = [(q[keep], d[keep], ids[keep])], int(keep.sum())
+        return self.held[0]
+
+
+def _merged(found: DataFrame, query_ids: list, queries: DataFrame, id_col: str, k: int) -> DataFrame:
+    """The k best of all tasks' best: query_id, the id, distance, rank."""
+    kind = T.StructType([T.StructField("q", T.IntegerType()), queries.schema["query_id"]])
+    names = found.sparkSession.createDataFrame(list(enumerate(query_ids)), kind)  # at most BROADCAST_MAX_QUERIES rows
+    w = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return (found.join(F.broadcast(names), "q").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("query_id", id_col, "distance", "rank"))
+
+
+def _found(best: _Best, id_col: str, kind: pa.DataType) -> pa.RecordBatch:
+    q, d, ids = best.cut()
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids.tolist(), kind), pa.array(d)], ["q", id_col, "distance"])
+
+
 def top_k_nearest(index: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = TOP_K,
                   filter_eq: dict | None = None, n_salt: int | None = None) -> DataFrame:
     """Per query, the k nearest index rows by squared L2 (id breaks
     ties), after an optional metadata equality filter.
 
-    Queries are broadcast only below ``BROADCAST_MAX_QUERIES`` (checked
-    count), more of them in batches; stage 1 keeps the k best per (query, salt) cell, stage 2 picks
-    the k best of the <= k * n_salt survivors, so every window task holds
-    at most ~1/n_salt of the index."""
+    Exact: a task compares its rows with all queries in blocks and hands on its k best of each, so no pair leaves
+    it and the shuffle holds k rows a query and task. Queries are sent to all tasks only below
+    ``BROADCAST_MAX_QUERIES`` (checked count), more of them in batches. Rows without an id, or whose vector is null
+    or of another length, take no part. ``n_salt`` has no use any more."""
     idx = index
     for c, v in (filter_eq or {}).items():
         idx = idx.filter(F.col(c) == v)
-    nq = queries.select("query_id").distinct().count()
-    if n_salt is None:
-        n_salt = max(1, min(4096, idx.count() // 200_000 + 1))
+    asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("v"))
+    nq = asked.count()
     if nq > BROADCAST_MAX_QUERIES:
-        return _in_batches(queries, nq, lambda q: top_k_nearest(idx, q, id_col, vec_col, k, n_salt=n_salt))
-    q = F.broadcast(queries.select(F.col("query_id"), F.col("query_vec")))
-    c = idx.select(id_col, F.col(vec_col).alias("_v"), (F.abs(F.xxhash64(id_col)) % n_salt).alias("_salt"))
-    # every index row meets every (bounded, broadcast) query: exact search
-    pairs = c.join(q, how="inner")
-    pairs = pairs.select("query_id", id_col, "_salt", sq_l2(F.col("_v"), F.col("query_vec")).alias("distance"))
-    w1 = Window.partitionBy("query_id", "_salt").orderBy("distance", id_col)
-    s1 = pairs.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-    w2 = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return s1.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).drop("_r", "_salt")
+        return _in_batches(queries, nq, lambda q: top_k_nearest(idx, q, id_col, vec_col, k))
+    rows = [r for r in asked.collect() if r["v"] is not None]
+    q = np.array([r["v"] for r in rows], float) if rows else np.zeros((0, 1))
+    kind = T.StructType([T.StructField("q", T.IntegerType()), T.StructField(id_col, index.schema[id_col].dataType),
+                         T.StructField("distance", T.DoubleType())])
+
+    def read(batches):
+        best, ids_kind = _Best(len(q), k), None
+        for b in batches:
+            ids_kind = b.schema.field(0).type
+            b = b.filter(pc.and_(pc.is_valid(b.column(0)), pc.equal(pc.fill_null(pc.list_value_length(b.column(1)), -1), q.shape[1])))
+            if not len(b) or not len(q):
+                continue
+            ids = np.array(b.column(0).to_pylist())
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            step = max(1, (1 << 22) // max(1, v.size))
+            for a in range(0, len(q), step):
+                best.add(ids, ((v[:, None, :] - q[None, a:a + step]) ** 2).sum(axis=2), a)
+        if ids_kind is not None:
+            yield _found(best, id_col, ids_kind)
+
+    found = idx.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(read, kind)
+    return _merged(found, [r["query_id"] for r in rows], queries, id_col, k)
 
 
 def label_centroids(emb: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -229,26 +291,52 @@ def query_vectors(queries: DataFrame, vocab: DataFrame, id_col: str = "query_id"
 
 def top_k_sparse(index_long: DataFrame, query_long: DataFrame, doc_col: str, k: int = TOP_K,
                  n_salt: int | None = None) -> DataFrame:
-    """T06 over an inverted index: squared L2 between unit TF-IDF vectors is
-    2 - 2 * dot; dots come from joining query terms with the postings on the
-    term (queries broadcast behind a checked bound, so hot terms never move
-    the postings), partially aggregated per (query, chunk). Candidates are
-    the chunks sharing at least one term; top-k by (distance, chunk id)
-    through the salted two-stage cut."""
-    nq = query_long.select("query_id").distinct().count()
-    if nq > BROADCAST_MAX_QUERIES:
-        return _in_batches(query_long, nq, lambda q: top_k_sparse(index_long, q, doc_col, k, n_salt))
-    q = F.broadcast(query_long.select("query_id", "term", F.col("weight").alias("wq")))
-    j = index_long.select(doc_col, "term", F.col("weight").alias("wd")).join(q, "term")
-    dots = j.groupBy("query_id", doc_col).agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
-    # exact copies give equal distances up to summation order: compare at
-    # 1e-9 so such ties are broken by the chunk id in every engine
-    dots = dots.withColumn("distance", F.round(F.lit(2.0) - 2.0 * F.col("dot"), 9))
-    if n_salt is None:
-        n_salt = 16
-    dots = dots.withColumn("_salt", F.abs(F.xxhash64(doc_col)) % n_salt)
-    w1 = Window.partitionBy("query_id", "_salt").orderBy("distance", doc_col)
-    s1 = dots.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-    w2 = Window.partitionBy("query_id").orderBy("distance", doc_col)
-    return s1.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).select(
-        "query_id", doc_col, "distance", "rank")
+    """T06 over sparse vectors: squared L2 between unit TF-IDF vectors is 2 - 2 * dot. The queries' terms are
+    numbered and sent to the postings (behind a checked bound), each chunk's postings on them are gathered, and a
+    task multiplies its chunks with all queries in blocks and hands on its k best of each: dots never leave it.
+    Candidates are the chunks sharing at least one term. Distances are compared at 1e-9, so exact copies tie
+    and the chunk id decides. ``n_salt`` has no use any more."""
+    counts = query_long.agg(F.count_distinct("query_id"), F.count("*")).first()
+    if counts[0] > 1 and (counts[0] > BROADCAST_MAX_QUERIES or counts[1] > QUERY_POSTINGS):
+        parts = max(counts[0], -(-counts[1] * BROADCAST_MAX_QUERIES // QUERY_POSTINGS))
+        return _in_batches(query_long, parts, lambda q: top_k_sparse(index_long, q, doc_col, k))
+    rows = query_long.select("query_id", "term", "weight").collect()  # bounded as above
+    names = sorted({r["query_id"] for r in rows})
+    terms = sorted({r["term"] for r in rows})
+    number, name_at = {t: i for i, t in enumerate(terms)}, {n: i for i, n in enumerate(names)}
+    t = np.array([number[r["term"]] for r in rows], np.int64)
+    order = np.argsort(t, kind="stable")
+    own = np.array([name_at[r["query_id"]] for r in rows], np.int64)[order]
+    weight = np.array([r["weight"] for r in rows], float)[order]
+    ptr = np.searchsorted(t[order], np.arange(len(terms) + 1))
+    numbered = index_long.sparkSession.createDataFrame(list(enumerate(terms)), "t int, term string")
+    asked = index_long.select(doc_col, F.col("term").cast("string").alias("term"), "weight").join(F.broadcast(numbered), "term")
+    # a chunk has at most as many postings as the vocabulary has terms
+    vectors = asked.groupBy(doc_col).agg(F.collect_list(F.struct("t", F.col("weight").cast("double").alias("w"))).alias("p"))
+    kind = T.StructType([T.StructField("q", T.IntegerType()), T.StructField(doc_col, index_long.schema[doc_col].dataType),
+                         T.StructField("distance", T.DoubleType())])
+    n = len(names)
+
+    def read(batches):
+        best, ids_kind = _Best(n, k), None
+        for b in batches:
+            ids_kind = b.schema.field(0).type
+            step = max(1, (1 << 22) // max(1, n))
+            for a in range(0, len(b), step):
+                some = b.slice(a, step)
+                p = some.column(1)
+                flat = p.flatten()
+                row = np.repeat(np.arange(len(some)), pc.list_value_length(p).to_numpy(zero_copy_only=False))
+                term, w = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+                many = ptr[term + 1] - ptr[term]
+                at = np.repeat(np.arange(len(term)), many)
+                pos = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + ptr[term][at]
+                cell = row[at] * n + own[pos]
+                dot = np.bincount(cell, w[at] * weight[pos], len(some) * n)
+                seen = np.bincount(cell, minlength=len(some) * n) > 0
+                d = np.where(seen, np.round(2.0 - 2.0 * dot, 9), np.inf).reshape(len(some), n)
+                best.add(np.array(some.column(0).to_pylist()), d)
+        if ids_kind is not None:
+            yield _found(best, doc_col, ids_kind)
+
+    return _merged(vectors.mapInArrow(read, kind), names, query_long, doc_col, k)

@@ -12,6 +12,7 @@ from slipway.operators.joins import asof_backward, dedupe_first
 from slipway.operators.metrics import quantile_bands
 from slipway.plans.queries import dom, register, report
 from slipway.plans.ranking import row_numbers
+from slipway.plans.stored import stored_features
 
 def formula_score():
     """Fixed formula scorer 1 / (1 + promised_days) (built lazily: needs a session)."""
@@ -23,7 +24,8 @@ def _osa(d):
 
 
 def _features(d):
-    return of.order_feature_table(d)
+    """The order features, built once a session."""
+    return stored_features(d).drop("_rid")
 
 
 def _rollup(d):
@@ -120,7 +122,7 @@ def a09(spark, sf):
 
 @register("s14_order_feature_table")
 def s14(spark, sf):
-    return report(_features(dom(spark, sf)))
+    return report(of.order_feature_table(dom(spark, sf)))
 
 
 @register("p11_trailing_window")
@@ -379,14 +381,13 @@ def s12(spark, sf):
 
 
 def _runs(spark, sf):
-    """Run log built from the model comparison; best PR-AUC promoted."""
+    """The compared models with their rank, evaluated once a session (what an append-only log keeps: ``operators.runlog``)."""
     from slipway.operators import metrics as me
     from slipway.plans.q_eval import _models
-    m = _models(dom(spark, sf))
-    r = me.ranking_metrics(m, part=["model"])
+    d = dom(spark, sf)
     rank = F.row_number().over(Window.orderBy(F.desc("pr_auc"), F.desc("model")))  # <= #models rows
-    return r.withColumn("version", rank).withColumn(
-        "stage", F.when(F.col("version") == 1, "Production").otherwise("Archived"))
+    return d.stored("runs", lambda: me.ranking_metrics(_models(d), part=["model"]).withColumn("version", rank).withColumn(
+        "stage", F.when(F.col("version") == 1, "Production").otherwise("Archived")))
 
 
 @register("s21_run_log")

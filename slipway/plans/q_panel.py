@@ -8,7 +8,7 @@ from slipway.operators import labels as lb
 from slipway.operators import panel as pn
 from slipway.operators import signals as sg
 from slipway.plans.queries import dom, register, report
-from slipway.plans.stored import stored_day_orders
+from slipway.plans.stored import stored_day_orders, stored_features
 from slipway.session import cut_lineage
 
 WS = [7, 14, 30]
@@ -167,22 +167,19 @@ def s18(spark, sf):
 def a17(spark, sf):
     """Pearson correlation of every numeric order feature with the label."""
     from slipway.operators.eda import label_correlations
-    from slipway.operators.order_features import order_feature_table
-    return report(label_correlations(order_feature_table(dom(spark, sf)), "is_late_delivery"))
+    return report(label_correlations(stored_features(dom(spark, sf)).drop("_rid"), "is_late_delivery"))
 
 
 @register("a19_grouped_describe")
 def a19(spark, sf):
     from slipway.operators.eda import grouped_describe
-    from slipway.operators.order_features import order_feature_table
-    return report(grouped_describe(order_feature_table(dom(spark, sf)), "is_late_delivery", "promised_days"))
+    return report(grouped_describe(stored_features(dom(spark, sf)).drop("_rid"), "is_late_delivery", "promised_days"))
 
 
 @register("a20_missing_share")
 def a20(spark, sf):
     from slipway.operators.eda import missing_share
-    from slipway.operators.order_features import order_feature_table
-    return report(missing_share(order_feature_table(dom(spark, sf))))
+    return report(missing_share(stored_features(dom(spark, sf)).drop("_rid")))
 
 
 @register("s17_series_payload_parse")
@@ -218,9 +215,8 @@ SEQ_FEATURES = ["handover_share", "freight_ratio", "same_state", "purchase_is_we
 
 @register("w18_sequence_windows")
 def w18(spark, sf):
-    from slipway.operators.order_features import order_feature_table
     from slipway.operators.sequences import sequence_checksum, sequence_windows
-    f = order_feature_table(dom(spark, sf))
+    f = stored_features(dom(spark, sf)).drop("_rid")
     s = sequence_windows(f, SEQ_FEATURES, block=256)
     return report(s.select("order_id", "seller_id", F.col("n_real").cast("long").alias("n_real"),
                            (sequence_checksum() / F.lit(1e4)).alias("checksum")))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from slipway.operators import explain as ex
 from slipway.operators import rollup as ru
 from slipway.operators import text as tx
-from slipway.operators.order_features import order_feature_table, trailing_window
+from slipway.operators.order_features import trailing_window
 from slipway.plans.q_core import formula_score
 from slipway.plans.queries import dom, register, report
+from slipway.plans.stored import stored_features
 from slipway.session import cut_lineage
 
 # Fixed linear "model" for the SQL-checkable attribution path (the fitted
@@ -71,7 +72,7 @@ def t06f(spark, sf):
 
 
 def _attr(d):
-    f = order_feature_table(d)
+    f = stored_features(d)
     recent = trailing_window(f, 90)
     return recent, ex.linear_attribution(recent, LINEAR_COEFS, recent)
 
@@ -103,7 +104,7 @@ def x06(spark, sf):
 
 
 def _preds_and_drivers(d):
-    preds = ru.score_and_rollup(order_feature_table(d), formula_score()).withColumn("model_name", F.lit("promise-formula"))
+    preds = ru.score_and_rollup(stored_features(d), formula_score()).withColumn("model_name", F.lit("promise-formula"))
     _, a = _attr(d)
     drivers = ex.top_drivers(ex.seller_mean_attribution(a))
     drivers = drivers.join(preds.select("seller_id"), "seller_id", "left_semi")

@@ -102,3 +102,48 @@ def test_column_quantiles(spark):
     for c in pdf:
         assert np.allclose(got[c], np.quantile(pdf[c], [0.25, 0.5, 0.75]), atol=1e-12)
     assert got["d"] == [None] * 3
+
+
+def test_asof_one_key_busy_in_one_day(spark):
+    """All rows in one key and hour: still spread, and right across the borders of partitions."""
+    n = 4000
+    base = F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") % 3000))
+    left = spark.range(n).select(F.col("id").alias("lid"), F.lit(1).alias("k"), base.alias("t"))
+    right = spark.range(0, 3000, 700).select(F.lit(1).alias("k"), base.alias("rt"), F.col("id").alias("v"))
+    right = right.unionByName(spark.range(1).select(F.lit(None).cast("int").alias("k"), F.timestamp_seconds(F.lit(0)).alias("rt"), F.lit(-1).cast("long").alias("v")))
+    out = asof_backward(left.unionByName(left.limit(1).select(F.lit(-1).cast("long").alias("lid"), F.lit(None).cast("int").alias("k"), "t")),
+                        right, "k", "t", "rt", ["v"])
+    got = {r["lid"]: r["v"] for r in out.collect()}
+    assert got.pop(-1) is None and len(got) == n
+    assert all(v == (i % 3000) // 700 * 700 for i, v in got.items())
+    plan = out._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_nearest_ties_ids_and_odd_vectors(spark):
+    rows = [(f"c{i:03d}", [float(i % 4), 0.0]) for i in range(40)] + [(None, [0.0, 0.0]), ("short", [0.0]), ("none", None)]
+    index = spark.createDataFrame(rows, "id string, vec array<float>").repartition(5)
+    q = spark.createDataFrame([(7, [0.1, 0.0]), (8, [3.0, 0.0])], "query_id int, query_vec array<double>")
+    got = text.top_k_nearest(index, q, "id", "vec", 12).orderBy("query_id", "rank").collect()
+    want = [f"c{i:03d}" for i in range(0, 40, 4)] + ["c001", "c005"]
+    assert [r["id"] for r in got if r["query_id"] == 7] == want
+    assert [r["id"] for r in got if r["query_id"] == 8][:10] == [f"c{i:03d}" for i in range(3, 40, 4)]
+    assert text.top_k_nearest(index, q, "id", "vec", 100).count() == 80  # all there are
+    assert text.top_k_nearest(index.limit(0), q, "id", "vec", 3).count() == 0
+    assert text.top_k_nearest(index, q.limit(0), "id", "vec", 3).count() == 0
+
+
+def test_sparse_in_many_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"t{j}", 0.1 * (i % 3 + 1)) for i in range(20) for j in range(i % 5)], "id string, term string, weight double")
+    asked = spark.createDataFrame([(q, f"t{j}", 0.5) for q in range(9) for j in range(q % 4)], "query_id int, term string, weight double")
+    whole = sorted(map(tuple, text.top_k_sparse(docs, asked, "id", 5).collect()))
+    monkeypatch.setattr(text, "QUERY_POSTINGS", 4)
+    assert sorted(map(tuple, text.top_k_sparse(docs, asked, "id", 5).collect())) == whole
+    assert {w[0] for w in whole} == {q for q in range(9) if q % 4}
+    for q in (1, 2, 3):
+        dots = {}
+        for i in range(20):
+            d = sum(0.5 * 0.1 * (i % 3 + 1) for j in range(min(i % 5, q)))
+            if d:
+                dots[f"d{i}"] = round(2 - 2 * d, 9)
+        assert [w[1] for w in whole if w[0] == q] and sorted(w[2] for w in whole if w[0] == q) == sorted(dots.values())[:5]
