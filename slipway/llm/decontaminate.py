@@ -13,6 +13,13 @@ place and every item window that agrees in full marks its words.
 Fingerprints and the extension compare words with A-Z lower-cased. Full Unicode
 lower-casing would lose hits: it depends on what surrounds a word (final sigma).
 
+A window that occurs more than once in an item counts once: an item is cut into
+sections, stretches of words whose windows are all new, and these stand for it.
+An item of one word repeated is a section of ``WINDOW`` words, so a page that
+repeats the word too has a shift per word and each is compared with that section
+alone. Words are compared by index into both arrays, all shifts of a (document,
+section) in one row, so no array is copied for each shift.
+
 An item of fewer than ``WINDOW`` words is a single window. Its first
 ``min(GRAM, length)`` words are looked up among the documents' runs of that
 length and extended alike.
@@ -76,6 +83,19 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return (benchmark.select(item.alias("item"), words(F.col("text")).alias("w")).distinct())
 
 
+def _sections(items: DataFrame) -> DataFrame:
+    """(item, at, w): the stretches of each item's words that hold all its windows, each window once."""
+    span = F.least(F.size("w"), F.lit(WINDOW))
+    starts = (items.select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - span)).alias("i"))
+              .select("item", "i", F.slice("w", F.col("i") + 1, span).alias("window")))
+    first = starts.groupBy("item", "window").agg(F.min("i").alias("i")).select("item", "i")
+    run = F.col("i") - F.row_number().over(Window.partitionBy("item").orderBy("i"))
+    stretch = (first.withColumn("run", run).groupBy("item", "run")
+               .agg(F.min("i").alias("at"), F.max("i").alias("to")))
+    return (stretch.join(items, "item")
+            .select("item", "at", F.slice("w", F.col("at") + 1, F.col("to") - F.col("at") + span).alias("w")))
+
+
 def _key() -> Column:
     """A document: its id and a digest of its text, for ids that come with several texts."""
     return F.struct(F.col("doc_id"), F.xxhash64("text").alias("x"), F.hash("text").alias("y")).alias("key")
@@ -84,48 +104,56 @@ def _key() -> Column:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Extended hits: (key, item, place), a row per document word (0-based) that an
     occurrence of an item window covers."""
-    items = stored(_items(benchmark), "items").filter(F.size("w") > 0)
+    items = stored(_sections(_items(benchmark).filter(F.size("w") > 0)), "items")
     text = docs.select(_key(), words(F.col("text")).alias("w"))
 
-    long_items = items.filter(F.size("w") >= WINDOW).select("item", _grams(F.col("w"), GRAM).alias("g"))
-    bench = _fingerprints(long_items, ["item"]).distinct()
+    long_items = items.filter(F.size("w") >= WINDOW).select("item", "at", _grams(F.col("w"), GRAM).alias("g"))
+    bench = _fingerprints(long_items, ["item", "at"]).distinct()
     found = [_candidates(_fingerprints(text.select("key", _grams(F.col("w"), GRAM).alias("g")), ["key"]), bench)]
 
     short = items.filter(F.size("w") < WINDOW)
     for k in sorted(r[0] for r in short.select(F.least(F.size("w"), F.lit(GRAM))).distinct().collect()):
         own = (short.filter(F.least(F.size("w"), F.lit(GRAM)) == k)
-               .select("item", F.get(_grams(F.col("w"), k), F.lit(0)).alias("fp"), F.lit(0).alias("pos")))
+               .select("item", "at", F.get(_grams(F.col("w"), k), F.lit(0)).alias("fp"), F.lit(0).alias("pos")))
         runs = text.select("key", F.posexplode(_grams(F.col("w"), k)).alias("pos", "fp"))
         found.append(_candidates(runs, own))
 
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
-    return _extend(stored(pairs.distinct(), "shifts"), docs.select(_key(), "text"), items.select("item", "w"))
+    return _extend(stored(pairs.distinct(), "shifts"), docs.select(_key(), "text"), items)
 
 
 def _candidates(fingerprints: DataFrame, bench: DataFrame) -> DataFrame:
-    """Distinct (key, item, shift) at which a fingerprint agrees."""
+    """Distinct (key, item, at, shift) at which a fingerprint agrees."""
     side = bench.withColumnRenamed("pos", "item_pos")
     if side.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     return (fingerprints.join(side, "fp")
-            .select("key", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
+            .select("key", "item", "at", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
 
 
-def _extend(pairs: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+def _extend(pairs: DataFrame, texts: DataFrame, sections: DataFrame) -> DataFrame:
     """Compare the words in place; runs of equal words as long as a window are hits."""
     near = (texts.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
             .select("key", words(F.col("text")).alias("d")))
-    at = (pairs.join(items, "item").join(near, "key")
-          .select("key", "item", "shift", "d", F.least(F.size("w"), F.lit(WINDOW)).alias("span"),
-                  F.posexplode("w").alias("i", "word")))
-    place = F.col("shift") + F.col("i")
-    same = (at.filter((place >= 0) & (F.get("d", place) == F.col("word")))
-            .select("key", "item", "shift", "span", place.alias("place")))
-    one = Window.partitionBy("key", "item", "shift")
-    run = same.withColumn("run", F.col("place") - F.row_number().over(one.orderBy("place")))
-    long = run.withColumn("n", F.count("*").over(Window.partitionBy("key", "item", "shift", "run")))
+    # A section's shifts in one document are fewer than the words of both.
+    both = (pairs.groupBy("key", "item", "at").agg(F.collect_list("shift").alias("shifts"))
+            .join(sections, ["item", "at"]).join(near, "key"))
+    w, d = F.col("w"), F.col("d")
+
+    def equal(shift):
+        """Places in the document that hold the section's word there."""
+        lo, hi = F.greatest(shift, F.lit(0)), F.least(shift + F.size(w), F.size(d)) - 1
+        return F.filter(F.sequence(lo, hi), lambda p: F.get(d, p) == F.get(w, p - shift))
+
+    found = F.transform("shifts", lambda s: F.struct(s.alias("shift"), equal(s).alias("places")))
+    same = (both.select("key", "item", "at", F.least(F.size(w), F.lit(WINDOW)).alias("span"),
+                        F.explode(found).alias("f"))
+            .select("key", "item", "at", "span", F.col("f.shift").alias("shift"), F.explode("f.places").alias("place")))
+    one = ["key", "item", "at", "shift"]
+    run = same.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy(*one).orderBy("place")))
+    long = run.withColumn("n", F.count("*").over(Window.partitionBy(*one, "run")))
     return long.filter("n >= span").select("key", "item", "place")
 
 

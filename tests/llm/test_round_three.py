@@ -315,3 +315,47 @@ def test_stages_keep_columns_of_any_name(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
     clean = decontaminate.keep_clean(docs, bench)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [1, 2]
+
+
+# ---------------------------------------------------------------- op6, repeated words
+def brute_hits(docs, items, window=10):
+    """{doc_id: (n_hit, item ids)} by comparing every window of words."""
+    def words(t):
+        return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD)) if w]
+
+    out = {}
+    for i, t in docs:
+        w, hit, own = words(t), set(), set()
+        for name, x in items:
+            v = words(x)
+            n = min(len(v), window)
+            wins = {tuple(v[a:a + n]) for a in range(len(v) - n + 1)} if n else set()
+            for a in range(len(w) - n + 1):
+                if tuple(w[a:a + n]) in wins:
+                    hit |= set(range(a, a + n))
+                    own.add(name)
+        out[i] = (len(hit), len(own))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_decontaminate_repeated_words(spark, monkeypatch, broadcast):
+    from slipway.llm import decontaminate
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)  # both join paths
+    rng = random.Random(4)
+    items = [("one", "na " * 300), ("two", "a b " * 60), ("short", "x x x"), ("mixed", "a b " * 9 + "c " + "a b " * 9),
+             ("again", " ".join(f"w{k}" for k in range(15)) + " sep " + " ".join(f"w{k}" for k in range(15)))]
+    docs = [(1, "na " * 500), (2, "b a " * 40 + "c"), (3, "x x x x y x x"), (4, "a b " * 4 + "c " + "a b " * 4),
+            (5, " ".join(f"w{k}" for k in range(3, 15)) + " w0 w1"), (6, "na " * 9), (7, None), (8, "")]
+    docs += [(10 + k, " ".join(rng.choice("ab c".split()) for _ in range(60))) for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"])
+           for r in decontaminate.report(frame(spark, docs), bench).collect()}
+    assert got == brute_hits(docs, items)
+
+
+def test_decontaminate_long_repetition(spark):
+    from slipway.llm import decontaminate
+    docs = frame(spark, [(1, "na " * 20_000), (2, "clean words only here")])
+    bench = spark.createDataFrame([("one", "na " * 20_000)], "item_id string, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.report(docs, bench).collect()} == {1: 20_000, 2: 0}
