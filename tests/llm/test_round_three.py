@@ -359,3 +359,37 @@ def test_decontaminate_long_repetition(spark):
     docs = frame(spark, [(1, "na " * 20_000), (2, "clean words only here")])
     bench = spark.createDataFrame([("one", "na " * 20_000)], "item_id string, text string")
     assert {r["doc_id"]: r["n_hit"] for r in decontaminate.report(docs, bench).collect()} == {1: 20_000, 2: 0}
+
+
+# ---------------------------------------------------------------- op10, several shards and blocks
+@pytest.mark.parametrize("factor, least", [(1.0, 1.0), (None, 0.9)])
+def test_neighbours_over_shards(spark, monkeypatch, factor, least):
+    from slipway.llm import annsearch
+    monkeypatch.setattr(annsearch, "SHARD_ROWS", 120)
+    monkeypatch.setattr(annsearch, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16))
+    x[50:60] = x[40]  # a group of copies
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = annsearch.neighbours(df, F.col("vec_id") % 20 == 0, k=10, factor=factor).collect()
+    found = 0
+    for a in range(0, 400, 20):
+        s = x @ x[a]
+        best = sorted((i for i in range(400) if i != a), key=lambda i: (-round(s[i], 9), i))[:10]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == a)
+        assert [r[0] for r in mine] == list(range(1, 11))
+        assert all(abs(r[2] - s[r[1]]) < 1e-9 for r in mine)
+        found += len({r[1] for r in mine} & set(best))
+    assert found >= least * 200
+
+
+def test_vantage_point_bounds_skip_vectors():
+    from slipway.llm import annsearch
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree, tally = annsearch.build(np.arange(2000), x), [0]
+    score, _ = annsearch.search(tree, x[:100], 5, 1.0, tally)
+    assert np.allclose(score, np.sort(x[:100] @ x.T, axis=1)[:, ::-1][:, :5])
+    assert tally[0] < 0.2 * 100 * 2000
