@@ -10,7 +10,7 @@ from slipway.operators import prep as pp
 from slipway.operators import split as sp
 from slipway.operators.order_features import TARGET
 from slipway.plans.queries import dom, register, report
-from slipway.plans.stored import stored_features
+from slipway.plans.stored import CORE, stored_features
 
 NUM_COLS = ["n_items", "total_price", "promised_days", "handover_share", "freight_ratio", "density", "zip_gap",
             "seller_prior_late_rate"]
@@ -21,10 +21,10 @@ def _scores(d):
     return s.withColumn("id", F.col("order_id") * 1000000 + F.col("seller_id"))
 
 
-def _ft(d):
+def _ft(d, columns=None):
     """The stored feature table (S14): written once to the checkpoint folder,
     so split points, fits and the main plan all read the same files."""
-    return stored_features(d)
+    return stored_features(d, columns)
 
 
 def _models(d):
@@ -143,7 +143,7 @@ def a23(spark, sf):
 
 @register("a22_nearest_date_quantiles")
 def a22(spark, sf):
-    f = _ft(dom(spark, sf))
+    f = _ft(dom(spark, sf), CORE)
     p = sp.purged_split_points(f, 0.2, 0.1, 30)
     return report(spark.createDataFrame([(p["test_start"], p["calib_start"])],
                                         "test_start timestamp_ntz, calib_start timestamp_ntz"))
@@ -151,28 +151,28 @@ def a22(spark, sf):
 
 @register("m01_purged_split")
 def m01(spark, sf):
-    return report(sp.purged_temporal_split(_ft(dom(spark, sf)), 0.2, 0.1, 30).select("order_id", "seller_id", "block"))
+    return report(sp.purged_temporal_split(_ft(dom(spark, sf), CORE), 0.2, 0.1, 30).select("order_id", "seller_id", "block"))
 
 
 @register("m02_chronological_split")
 def m02(spark, sf):
-    return report(sp.chronological_split(_ft(dom(spark, sf)), 0.2, 0).select("order_id", "seller_id", "block"))
+    return report(sp.chronological_split(_ft(dom(spark, sf), CORE), 0.2, 0).select("order_id", "seller_id", "block"))
 
 
 @register("m03_forward_folds")
 def m03(spark, sf):
-    return report(sp.forward_folds(_ft(dom(spark, sf)), 3).select("order_id", "seller_id", "row_idx", "test_fold"))
+    return report(sp.forward_folds(_ft(dom(spark, sf), CORE), 3).select("order_id", "seller_id", "row_idx", "test_fold"))
 
 
 @register("u03_blocks_disjoint")
 def u03(spark, sf):
-    b = sp.purged_temporal_split(_ft(dom(spark, sf)), 0.2, 0.1, 30)
+    b = sp.purged_temporal_split(_ft(dom(spark, sf), CORE), 0.2, 0.1, 30)
     return report(sp.blocks_disjoint(b, ["order_id", "seller_id"]))
 
 
 @register("k08_recent_rows")
 def k08(spark, sf):
-    f = _ft(dom(spark, sf))
+    f = _ft(dom(spark, sf), CORE)
     return report(f.orderBy(F.desc("as_of_date"), F.desc("_rid")).limit(80000).select("order_id", "seller_id"))
 
 
@@ -207,7 +207,7 @@ def _drift(d):
 
 @register("d01_reference_current_split")
 def d01(spark, sf):
-    f = sp.reference_current_split(_ft(dom(spark, sf)))
+    f = sp.reference_current_split(_ft(dom(spark, sf), CORE))
     return report(f.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("as_of_date").alias("first"),
                                           F.max("as_of_date").alias("last")))
 
