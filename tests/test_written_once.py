@@ -29,7 +29,7 @@ def test_a_cut_frame_is_small_and_read_by_column(spark):
     assert cut.schema.simpleString() == df.schema.simpleString() and cut.count() == 50_000
     assert cut.exceptAll(df).isEmpty() and df.exceptAll(cut).isEmpty()
     plan = cut.select("c3")._jdf.queryExecution().executedPlan().toString()
-    assert "c3" in plan and "c4" not in plan
+    assert "ReadSchema: struct<c3:double>" in plan  # no other column
     assert cut_lineage(df.filter("id < 0")).count() == 0
 
 
